@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, sp_codec
+
+#: A SentencePiece model; the path is a parameter of the operator.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +18,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_codec.round_trips(table(spark, sf_dir, "documents"), PIECES)
+
+
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_sentencepiece": op6_sentencepiece,
 }

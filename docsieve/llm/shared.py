@@ -49,3 +49,12 @@ def utf8(column, empty: bytes = b"") -> list[bytes]:
     import pyarrow as pa
 
     return [empty if v is None else v for v in column.cast(pa.binary()).to_pylist()]
+
+
+def worker_cache(name: str) -> dict:
+    """A dictionary that lasts as long as the Python process. It may only hold what can be computed again."""
+    import sys
+    import types
+
+    held = sys.modules.setdefault("_docsieve_worker_cache", types.ModuleType("_docsieve_worker_cache"))
+    return held.__dict__.setdefault(name, {})
