@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, sp_codec
+from . import exact_dedup, lang_ppm, quality_gam, sp_codec
 
 #: A SentencePiece model; the path is a parameter of the operator.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -18,11 +18,21 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_codec.round_trips(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_ppm.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_quality_gam": op5_quality_gam,
     "op6_sentencepiece": op6_sentencepiece,
+    "op9_language_id": op9_language_id,
 }
