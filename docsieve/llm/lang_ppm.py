@@ -1,7 +1,7 @@
 """Language identification by prediction by partial matching.
 
 Each language has a variable-order context tree over bytes: a node is a context of 0 to ``ORDER`` bytes with counts of
-the bytes that follow it. The probability of a byte blends down the tree by escapes (method C): a byte seen behind the
+the bytes that follow it, in lower-cased text. The probability of a byte blends down the tree by escapes (method C): a byte seen behind the
 longest known context has count / (total + distinct); otherwise the escape, distinct / (total + distinct), multiplies
 what the next shorter context says; a context that a language never saw costs nothing; order -1 is uniform. The counts
 are frozen, so a text's code length under each language is exact: the sum of its bytes' code lengths. The language of
@@ -35,10 +35,9 @@ LETTER = regex.compile(r"\p{L}")
 
 
 def symbols(alphabet: np.ndarray) -> np.ndarray:
-    """Byte to symbol; symbol 0 is a byte outside the alphabet. Upper-case ASCII counts as lower case."""
+    """Byte to symbol; symbol 0 is a byte outside the alphabet."""
     to = np.zeros(256, dtype=np.int32)
     to[alphabet] = np.arange(1, len(alphabet) + 1)
-    to[65:91] = to[97:123]
     return to
 
 
@@ -140,7 +139,7 @@ def learn(docs: DataFrame, max_fit_docs: int = 3000) -> Model:
     share = F.lit(0)
     for name, n in sizes.items():
         share = F.when(F.col("lang") == name, int(min(1.0, max_fit_docs / n) * (1 << 20))).otherwise(share)
-    some = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share).select("lang", "text")
+    some = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share).select("lang", F.lower("text").alias("text"))
 
     def bytes_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(256, dtype=np.int64)
@@ -150,8 +149,6 @@ def learn(docs: DataFrame, max_fit_docs: int = 3000) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(256), pa.int32()), pa.array(total, pa.int64())], names=["b", "n"])
 
     seen = {r[0]: r[1] for r in some.mapInArrow(bytes_seen, "b int, n long").groupBy("b").agg(F.sum("n")).collect()}
-    for b in range(65, 91):
-        seen[b + 32] = seen.get(b + 32, 0) + seen.pop(b, 0)
     seen[10] = seen.get(10, 0) + 1
     common = sorted((b for b in seen if seen[b]), key=lambda b: (-seen[b], b))[: SYMBOLS - 1]
     to_symbol = symbols(np.array(sorted(common), dtype=np.int64))
@@ -183,5 +180,5 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
             got = [predict(data) for data in utf8(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
     return rows.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")

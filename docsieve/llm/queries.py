@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, lang_ppm, quality_gam, sp_codec
+from . import exact_dedup, lang_ppm, quality_gam, simhash, sp_codec
 
 #: A SentencePiece model; the path is a parameter of the operator.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -30,9 +30,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_ppm.identify(table(spark, sf_dir, "documents"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_quality_gam": op5_quality_gam,
     "op6_sentencepiece": op6_sentencepiece,
     "op9_language_id": op9_language_id,
+    "op10_simhash": op10_simhash,
 }
