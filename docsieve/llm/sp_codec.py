@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import sha256
 from itertools import chain
 
 import numpy as np
@@ -33,8 +34,9 @@ from pyspark.sql import types as T
 from .shared import worker_cache
 
 SPACE = "▁"
-#: Words that each of two generations of a worker's memory holds, and characters that it solves together. Neither changes a result.
-REMEMBERED, BLOCK_CHARS = 200_000, 2_000_000
+#: Words that each of two generations of a worker's memory holds, pairs of pieces in it, and characters of text that are
+#: solved together. They bound memory and change no result.
+REMEMBERED, PAIRS, BLOCK_CHARS = 120_000, 300_000, 1_000_000
 
 
 class PieceModel:
@@ -110,98 +112,105 @@ class PieceModel:
 
 
 class Encoder:
-    """Solves sorted words; keeps what it has learnt of pairs of pieces."""
+    """Solves sorted words; keeps what it has learnt of words and of pairs of pieces."""
 
     def __init__(self, model: PieceModel):
         self.model = model
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[str, dict[str, bool]] = {}
+        self.text = {i: p for p, i in model.ids.items()}
+        self.pairs: dict[int, dict[int, bool]] = {}
         self.n_pairs = 0
-        self.stable: dict[str, bool] = {}
-
-    def _follows(self, left: str, right: str) -> bool:
-        of = self.pairs.get(left)
-        if of is None:
-            of = self.pairs[left] = {}
-        ok = of.get(right)
-        if ok is None:
+
+    def _own(self, i: int) -> bool:
+        """Whether a piece is its own BPE result."""
+        of = self.pairs.setdefault(-1, {})
+        if i not in of:
+            of[i] = self.model.merged(self.text[i]) == [self.text[i]]
+        return of[i]
+
+    def _follows(self, left: int, right: int, char: str) -> bool:
+        """Whether BPE leaves ``left`` (-1: ``char``, which has no piece) and ``right`` apart."""
+        if left < 0 and char not in self.model.alphabet:
+            return self._own(right)
+        a, b = char if left < 0 else self.text[left], self.text[right]
+        ok = self._own(right) and self.model.merged(a + b) == [a, b]
+        if left >= 0:
             self.n_pairs += 1
-            if self.n_pairs > REMEMBERED * 4:
+            if self.n_pairs > PAIRS:
                 self.pairs.clear()
                 self.n_pairs = 0
-                of = self.pairs[left] = {}
-            m = self.model
-            own = self.stable.get(right)
-            if own is None:
-                own = self.stable[right] = m.merged(right) == [right]
-            ok = of[right] = own and m.merged(left + right) == [left, right]
+            self.pairs.setdefault(left, {})[right] = ok
         return ok
 
-    def _starts(self, piece: str) -> bool:
-        own = self.stable.get(piece)
-        if own is None:
-            own = self.stable[piece] = self.model.merged(piece) == [piece]
-        return own
-
     def solve(self, words: list[str]) -> None:
         """Adds the ids of each word; ``words`` are distinct, marked and sorted."""
         m, known = self.model, self.known
-        ids, scores, bpe, follows, starts, pairs = m.ids, m.scores, m.bpe, self._follows, self._starts, self.pairs
-        tails, short = m.tails, [2, 1]
-        before = ""
-        piece_at: list[str] = [""]  # the last piece of the best path to each prefix
+        step = self._bpe_step if m.bpe else self._unigram_step
+        before, size = "", {i: len(p) for p, i in m.ids.items()}
+        id_at: list[int] = [-1]  # the last piece of the best path to each prefix; -1: a character without a piece
         score_at: list[float] = [0.0]
         for word in words:
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del piece_at[shared + 1 :]
+            del id_at[shared + 1 :]
             del score_at[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                best_piece, best = word[end - 1], None
-                for n in tails.get(word[end - 3 : end], short) if end > 2 else short:
-                    start = end - n
-                    if start < 0:
-                        continue
-                    piece = word[start:end]
-                    if piece in ids:
-                        if bpe:
-                            if start:
-                                left = piece_at[start]
-                                of = pairs.get(left)
-                                ok = of.get(piece) if of is not None else None
-                                if ok is None:
-                                    ok = follows(left, piece)
-                            else:
-                                ok = starts(piece)
-                            if ok:
-                                best_piece, best = piece, score_at[start] + scores[piece]
-                                break
-                        else:
-                            score = score_at[start] + scores[piece]
-                            if best is None or score > best:
-                                best_piece, best = piece, score
-                if best is None:
-                    best = score_at[end - 1] + m.least
-                elif not bpe and len(best_piece) > 1 and word[end - 1] not in ids and score_at[end - 1] + m.least > best:
-                    best_piece, best = word[end - 1], score_at[end - 1] + m.least
-                piece_at.append(best_piece)
-                score_at.append(best)
+            step(word, shared + 1, id_at, score_at)
             out: list[int] = []
             end = len(word)
             while end:
-                piece = piece_at[end]
-                i = ids.get(piece)
-                if i is None:
-                    out.extend(reversed(m.without_piece(piece)))
+                i = id_at[end]
+                if i < 0:
+                    out.extend(reversed(m.without_piece(word[end - 1])))
+                    end -= 1
                 else:
                     out.append(i)
-                end -= len(piece)
+                    end -= size[i]
             out.reverse()
             known[word.replace(SPACE, " ")] = tuple(out)
             before = word
 
+    def _bpe_step(self, word: str, first: int, id_at: list[int], _: list[float]) -> None:
+        find, tails, short, pairs, follows = self.model.ids.get, self.model.tails, (2, 1), self.pairs, self._follows
+        for end in range(first, len(word) + 1):
+            best = -1
+            for n in tails.get(word[end - 3 : end], short) if end > 2 else short:
+                start = end - n
+                if start < 0:
+                    continue
+                i = find(word[start:end])
+                if i is None:
+                    continue
+                if start:
+                    left = id_at[start]
+                    of = pairs.get(left) if left >= 0 else None
+                    ok = of.get(i) if of is not None else None
+                    if ok is None:
+                        ok = follows(left, i, word[start - 1])
+                else:
+                    ok = self._own(i)
+                if ok:
+                    best = i
+                    break
+            id_at.append(best)
+
+    def _unigram_step(self, word: str, first: int, id_at: list[int], score_at: list[float]) -> None:
+        m, tails, short = self.model, self.model.tails, (2, 1)
+        for end in range(first, len(word) + 1):
+            best_id, best = -1, None
+            for n in tails.get(word[end - 3 : end], short) if end > 2 else short:
+                piece = word[max(0, end - n) : end]
+                if len(piece) == n and piece in m.ids:
+                    score = score_at[end - n] + m.scores[piece]
+                    if best is None or score > best:
+                        best_id, best = m.ids[piece], score
+            alone = score_at[end - 1] + m.least
+            if best is None or (word[end - 1] not in m.ids and alone > best):
+                best_id, best = -1, alone
+            id_at.append(best_id)
+            score_at.append(best)
+
     def encode(self, texts: list[str | None]) -> Iterator[np.ndarray | None]:
         """The ids of each text, solved by blocks of texts."""
         m = self.model
@@ -236,6 +245,14 @@ class Encoder:
                 yield None if words is None else np.fromiter(chain.from_iterable(map(get, words)), dtype=np.int32)
 
 
+def worker_encoder(model: bytes) -> Encoder:
+    cache = worker_cache("sentencepiece")
+    if model not in cache:
+        cache.clear()
+        cache[model] = Encoder(PieceModel(model))
+    return cache[model]
+
+
 def _lists(arrays: list[np.ndarray | None]) -> pa.Array:
     sizes = np.array([0 if a is None else len(a) for a in arrays], dtype=np.int64)
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
@@ -253,11 +270,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: st
     names = [x.name for x in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = worker_cache("sentencepiece")
-        if model not in cache:
-            cache.clear()
-            cache[model] = Encoder(PieceModel(model))
-        encoder = cache[model]
+        encoder = worker_encoder(model)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text_col))
             for start in range(0, batch.num_rows, 1000):
@@ -268,41 +281,50 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: st
     return docs.mapInArrow(run, schema)
 
 
+def _text(ids: list[int], surface: list[bytes], prefix: bool) -> str:
+    text = b"".join(map(surface.__getitem__, ids)).decode("utf-8", "replace")
+    return text.removeprefix(" ") if prefix else text
+
+
 def decode(docs: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``docs`` with the text that ``ids_col`` stands for; ids outside the model raise."""
     with open(model_path, "rb") as f:
-        model = f.read()
-    surface, prefix = PieceModel(model).surface, PieceModel(model).dummy_prefix
+        model = PieceModel(f.read())
+    surface, prefix = model.surface, model.dummy_prefix
     schema = T.StructType([x for x in docs.schema.fields if x.name != text_col] + [T.StructField(text_col, T.StringType())])
     names = [x.name for x in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = surface.__getitem__
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids_col))
             for start in range(0, batch.num_rows, 1000):
-                part, own, texts = batch.slice(start, 1000), column.slice(start, 1000), []
-                bounds, valid = own.offsets.to_numpy(), own.is_valid().to_numpy(zero_copy_only=False)
-                values = own.values.to_numpy(zero_copy_only=False)
-                for k in range(len(own)):
-                    if not valid[k]:
-                        texts.append(None)
-                        continue
-                    text = b"".join(map(get, values[bounds[k] : bounds[k + 1]].tolist())).decode("utf-8", "replace")
-                    texts.append(text.removeprefix(" ") if prefix else text)
+                part, own = batch.slice(start, 1000), column.slice(start, 1000)
+                texts = [None if x is None else _text(x, surface, prefix) for x in own.to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in names[:-1]), pa.array(texts, pa.string())], names=names)
 
     return docs.mapInArrow(run, schema)
 
 
 def round_trips(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: n_tokens, the digest of its ids, and whether decoding returns the text (null counts as empty)."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    both = decode(encode(rows, model_path), model_path)
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-        (F.col("decoded") == F.col("text")).alias("same_text"),
-    )
+    """Per document: n_tokens, the digest of its ids as little-endian 32-bit numbers, the digest of the text decoded from
+    them, and whether that is the text (null counts as empty). Encoding and decoding share one Python process."""
+    with open(model_path, "rb") as f:
+        model = f.read()
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "same_text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = worker_encoder(model)
+        surface, prefix = encoder.model.surface, encoder.model.dummy_prefix
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                texts = part.column(1).to_pylist()
+                got = []
+                for text, ids in zip(texts, encoder.encode(texts), strict=True):
+                    back = _text(ids.tolist(), surface, prefix)
+                    got.append((len(ids), sha256(ids.astype("<i4").tobytes()).hexdigest(), sha256(back.encode()).hexdigest(), back == text))
+                kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*got, strict=True), kinds, strict=True))], names=names)
+
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, same_text boolean")
