@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, lang_ppm, quality_gam, simhash, sp_codec
+from . import exact_dedup, lang_ppm, license_scan, quality_gam, simhash, sp_codec
 
 #: A SentencePiece model; the path is a parameter of the operator.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -14,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_quality_gam": op5_quality_gam,
     "op6_sentencepiece": op6_sentencepiece,
