@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, lang_ppm, license_scan, quality_gam, simhash, sp_codec
+from . import chat_format, decontam, exact_dedup, lang_ppm, license_scan, quality_gam, simhash, sp_codec
 
 #: A SentencePiece model; the path is a parameter of the operator.
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -18,6 +18,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,12 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_codec.round_trips(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    both = [(-7, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))]
+    return chat_format.digests(chat_format.chains(told.union(spark.createDataFrame(both, told.schema))))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_ppm.identify(table(spark, sf_dir, "documents"))
 
@@ -40,9 +50,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op3_decontamination": op3_decontamination,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_quality_gam": op5_quality_gam,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_chat_format": op7_chat_format,
     "op9_language_id": op9_language_id,
     "op10_simhash": op10_simhash,
 }
