@@ -49,23 +49,25 @@ def paths(nodes: DataFrame, space: Workspace, branches: int = 1) -> DataFrame:
     parents = ids.select("conv_id", F.col("node").alias("parent"), F.lit(True).alias("known"))
     linked = nodes.select(*key, "parent", F.coalesce("score", F.lit(0.0)).alias("total")).join(parents, ["conv_id", "parent"], "left")
     jump = space.keep(linked.select(*key, F.when(F.col("known"), F.col("parent")).alias("above"), "total", F.lit(1).cast("long").alias("steps")), "jump0")
-    jumps = [jump]
+    open_, done, jumps = jump.where(F.col("above").isNotNull()), jump.where(F.col("above").isNull()), []
     most = nodes.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
-    while 1 << (len(jumps) - 1) < most and not jump.where(F.col("above").isNotNull()).isEmpty():
-        far = jump.select("conv_id", F.col("node").alias("above"), F.col("above").alias("above2"), F.col("total").alias("total2"), F.col("steps").alias("steps2"))
-        on = jump.join(far, ["conv_id", "above"], "left")
-        jump = space.keep(on.select(*key, F.col("above2").alias("above"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps")), f"jump{len(jumps)}")
-        jumps.append(jump)
-    answered = jumps[0].where(F.col("above").isNotNull()).select("conv_id", F.col("above").alias("node")).distinct()
-    leaves = jump.where(F.col("above").isNull()).join(answered, key, "left_anti")
+    answered = open_.select("conv_id", F.col("above").alias("node")).distinct()
+    # only paths that haven't reached their root are joined on
+    while 1 << len(jumps) <= most and not open_.isEmpty():
+        jumps.append(open_.select(*key, "above"))
+        far = open_.union(done).select("conv_id", F.col("node").alias("above"), F.col("above").alias("above2"), F.col("total").alias("total2"), F.col("steps").alias("steps2"))
+        on = open_.join(far, ["conv_id", "above"])
+        jump = space.keep(on.select(*key, F.col("above2").alias("above"), (F.col("total") + F.col("total2")).alias("total"), (F.col("steps") + F.col("steps2")).alias("steps")), f"jump{len(jumps)}")
+        open_, done = jump.where(F.col("above").isNotNull()), done.union(jump.where(F.col("above").isNull()))
+    leaves = done.join(answered, key, "left_anti")
     rank = F.struct((-F.col("total") / F.col("steps")).alias("a"), (-F.col("steps")).alias("b"), F.col("node").alias("c"))
     if branches == 1:
         chosen = leaves.groupBy("conv_id").agg(F.min(rank).alias("r")).select("conv_id", F.col("r.c").alias("leaf"), F.lit(1).alias("branch"))
     else:
         chosen = leaves.withColumn("branch", F.row_number().over(W.partitionBy("conv_id").orderBy(rank))).where(F.col("branch") <= branches).select("conv_id", F.col("node").alias("leaf"), "branch")
     held = space.keep(chosen.select("conv_id", "leaf", "branch", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up")), "path0")
-    for k, step in enumerate(jumps[:-1] if len(jumps) > 1 else []):
-        further = held.join(step.where(F.col("above").isNotNull()).select(*key, "above"), key)
+    for k, step in enumerate(jumps):
+        further = held.join(step, key)
         held = space.keep(held.union(further.select("conv_id", "leaf", "branch", F.col("above").alias("node"), (F.col("up") + (1 << k)).alias("up"))), f"path{k + 1}")
     return held
 
