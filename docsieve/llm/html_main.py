@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lcs import common
 from .shared import Workspace
 
 BLOCKS = frozenset(
@@ -121,35 +122,11 @@ def blocks(html: str) -> list[tuple[str, bool, bool]]:
     return out
 
 
-def common(a: list[int], b: list[int]) -> list[int]:
-    """Places in ``a`` of a longest common subsequence with ``b`` (bit-parallel, so many equal lines cost no more)."""
-    where: dict[int, int] = {}
-    for j, x in enumerate(b):
-        where[x] = where.get(x, 0) | 1 << j
-    full = (1 << len(b)) - 1
-    rows, v = [], full
-    for x in a:
-        u = v & where.get(x, 0)
-        v = ((v + u) | (v - u)) & full
-        rows.append(v)
-    out, i, j = [], len(a), len(b)
-    while i and j:
-        if rows[i - 1] >> (j - 1) & 1:
-            j -= 1
-            continue
-        i -= 1
-        if i and not rows[i - 1] >> (j - 1) & 1:
-            continue
-        out.append(i)
-        j -= 1
-    return out[::-1]
-
-
 def shared_lines(own: list[int], sizes: list[int], others: list[list[int]], copy: float = 0.8) -> list[int]:
     """Places of the lines that a page shares with the first of ``others`` that isn't a copy of it."""
     total = sum(sizes)
     for other in others:
-        at = common(own, other)
+        at = [i for i, _ in common(own, other)]
         if sum(sizes[i] for i in at) < copy * total:
             return at
     return []
@@ -165,8 +142,15 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Slices that bound how many parsed pages are held at a time."""
     for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _parts(batches):
         pages = [blocks(h or "") for h in batch.column(1).to_pylist()]
         lines = pa.array([[_hash(t) for t, _, _ in p] for p in pages], pa.list_(pa.int64()))
         sizes = pa.array([[len(t) for t, _, _ in p] for p in pages], pa.list_(pa.int32()))
@@ -254,7 +238,7 @@ def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _parts(batches):
         ids, urls, htmls, shared, hashes = (batch.column(i).to_pylist() for i in range(5))
         texts = []
         for html, at, known in zip(htmls, shared, hashes, strict=True):
@@ -267,13 +251,14 @@ def extract(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text (empty if none), n_chars."""
     space = Workspace(pages.sparkSession, "html")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    lines = space.keep(rows.select("page_id", "html").mapInArrow(_lines, "page_id long, lines array<long>, sizes array<int>"), "lines")
-    one = lines.dropDuplicates(["page_id"])
+    lines = rows.select("page_id", "html").mapInArrow(_lines, "page_id long, lines array<long>, sizes array<int>")
+    one = space.keep(lines.dropDuplicates(["page_id"]), "lines")
     near = pairs(rows, space)
     own = near.join(one, near["page_id"].eqNullSafe(one["page_id"])).select(near["page_id"], "first", "second", "lines", "sizes")
     a = one.select(F.col("page_id").alias("first"), F.col("lines").alias("lines1"))
     b = one.select(F.col("page_id").alias("second"), F.col("lines").alias("lines2"))
     both = own.join(a, "first", "left").join(b, "second", "left").select("page_id", "lines", "sizes", "lines1", "lines2")
     shared = space.keep(both.mapInArrow(_choose, "page_id long, shared array<int>, hashes array<long>"), "shared")
-    joined = rows.join(shared, rows["page_id"].eqNullSafe(shared["page_id"]), "left").select(rows["page_id"], "url", "html", "shared", "hashes")
+    # the one shuffle of pages; hashing the small side spares a sort of the large one
+    joined = rows.join(shared.hint("shuffle_hash"), rows["page_id"].eqNullSafe(shared["page_id"]), "left").select(rows["page_id"], "url", "html", "shared", "hashes")
     return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
