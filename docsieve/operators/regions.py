@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docsieve.functions import catalogs as C
 
@@ -41,7 +42,7 @@ def fuzzy_keyword(text: str | None, threshold: float = 80.0) -> tuple[str, float
     return None
 
 
-@F.pandas_udf("struct<type:string,confidence:double>")
+@F.pandas_udf(T.StructType().add("type", T.StringType()).add("confidence", T.DoubleType()))
 def _fuzzy(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for s in texts:
         got = [fuzzy_keyword(x) or (None, None) for x in s]

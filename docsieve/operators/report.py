@@ -14,6 +14,12 @@ RESULTS = (
 LEVELS = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
 
 
+def complete(results: DataFrame) -> DataFrame:
+    """``results`` with nulls for the columns of RESULTS that its workflow didn't make."""
+    schema = results.sparkSession.createDataFrame([], RESULTS).schema
+    return results.withColumns({f.name: F.lit(None).cast(f.dataType) for f in schema.fields if f.name not in results.columns})
+
+
 def defaults(results: DataFrame) -> DataFrame:
     """Fills what a result lacks: success, unknown type, LOW risk, zero counts, empty lists."""
     empty = {"categories_found": "array<string>", "key_findings": "array<string>", "recommendations": "array<string>", "pii_types": "map<string,bigint>"}

@@ -48,32 +48,43 @@ def confidence(n_patterns: Column, n_keywords: Column, words: Column) -> Column:
     return F.when(total == 0, F.lit(0.0)).otherwise(half_up(value, 3))
 
 
+def topic_array(text: Column, categories: Sequence[C.Category] = C.CATEGORIES) -> Column:
+    """An array with a struct for each topic: category, position, weight, patterns, keywords, finding_count, confidence."""
+
+    def scanned(t: Column, parts: Column, words: Column) -> Column:
+        rows = F.array(
+            *[
+                F.struct(F.lit(c.name).alias("category"), F.lit(k).alias("position"), F.lit(c.weight).alias("weight"), pattern_hits(t, c).alias("patterns"), keyword_hits(t, parts, c).alias("keywords"))
+                for k, c in enumerate(categories)
+            ]
+        )
+
+        def counted(r: Column) -> Column:
+            n, m = F.size(r["patterns"]).cast("long"), F.size(r["keywords"]).cast("long")
+            same = [r[x].alias(x) for x in ("category", "position", "weight", "patterns", "keywords")]
+            return F.struct(*same, (n + m).alias("finding_count"), confidence(n, m, words).alias("confidence"))
+
+        return F.transform(rows, counted)
+
+    return let(F.coalesce(text, F.lit("")), lambda t: let(sentences(t), lambda s: let(word_count(t), lambda w: scanned(t, s, w))))
+
+
 def topics(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", categories: Sequence[C.Category] = C.CATEGORIES) -> DataFrame:
-    """A row for each document and topic: id, category, position, weight, patterns, keywords, finding_count, confidence."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = df.select(F.col(id_col), text.alias("__t")).withColumn("__s", sentences(F.col("__t"))).withColumn("__w", word_count(F.col("__t")))
-    rows = F.array(
-        *[
-            F.struct(F.lit(c.name).alias("category"), F.lit(k).alias("position"), F.lit(c.weight).alias("weight"), pattern_hits(F.col("__t"), c).alias("patterns"), keyword_hits(F.col("__t"), F.col("__s"), c).alias("keywords"))
-            for k, c in enumerate(categories)
-        ]
-    )
-    flat = base.select(id_col, "__w", F.inline(rows))
-    n, m = F.size("patterns").cast("long"), F.size("keywords").cast("long")
-    return flat.select(id_col, "category", "position", "weight", "patterns", "keywords", (n + m).alias("finding_count"), confidence(n, m, F.col("__w")).alias("confidence"))
+    """A row for each document and topic."""
+    return df.select(F.col(id_col), F.inline(topic_array(F.col(text_col), categories)))
 
 
 def title(name: Column) -> Column:
     return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
 
 
-def topic_highlights() -> Column:
+def topic_highlights(t: Column) -> Column:
     """Up to three pattern hits, or up to two sentences cut to 100 characters, of a topic whose confidence is over 0.3."""
-    by_pattern = F.transform(F.slice("patterns", 1, 3), lambda p: F.concat(title(F.col("category")), F.lit(": "), p["text"]))
-    said = F.slice(F.array_sort(F.array_distinct(F.transform("keywords", lambda k: k["sentence"]))), 1, 2)
-    by_sentence = F.transform(said, lambda s: F.concat(title(F.col("category")), F.lit(": "), F.substring(s, 1, 100), F.lit("...")))
+    by_pattern = F.transform(F.slice(t["patterns"], 1, 3), lambda p: F.concat(title(t["category"]), F.lit(": "), p["text"]))
+    said = F.slice(F.array_sort(F.array_distinct(F.transform(t["keywords"], lambda k: k["sentence"]))), 1, 2)
+    by_sentence = F.transform(said, lambda s: F.concat(title(t["category"]), F.lit(": "), F.substring(s, 1, 100), F.lit("...")))
     none = F.array().cast("array<string>")
-    return F.when(F.col("confidence") <= 0.3, none).when(F.size("patterns") > 0, by_pattern).otherwise(by_sentence)
+    return F.when(t["confidence"] <= 0.3, none).when(F.size(t["patterns"]) > 0, by_pattern).otherwise(by_sentence)
 
 
 def describe(found: Column, sure: Column) -> Column:
@@ -91,46 +102,48 @@ def describe(found: Column, sure: Column) -> Column:
     )
 
 
-def summarize(flat: DataFrame, id_col: str = "doc_id", categories: Sequence[C.Category] = C.CATEGORIES) -> DataFrame:
-    """One row a document from ``topics``: categories_found, total_findings, confidence_score, key_findings,
-    recommendations (sorted), description."""
-    advice = F.array().cast("array<string>")
-    called = F.lit(None).cast("string")
-    for c in categories:
-        advice = F.when(F.col("category") == c.name, F.array(*map(F.lit, c.recommendations))).otherwise(advice)
-        called = F.when(F.col("category") == c.name, F.lit(c.description)).otherwise(called)
-    rows = flat.select(
-        id_col,
-        F.struct(
-            "position",
-            "category",
-            "weight",
-            F.col("finding_count").alias("n"),
-            F.col("confidence").alias("c"),
-            topic_highlights().alias("highlights"),
-            F.when(F.col("confidence") > 0.5, advice).otherwise(F.array().cast("array<string>")).alias("advice"),
-            called.alias("called"),
-        ).alias("t"),
-    )
-    whole = rows.groupBy(id_col).agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    found = F.transform(F.filter("ts", lambda t: t["n"] > 0), lambda t: t["category"])
-    sure = F.transform(F.filter("ts", lambda t: t["c"] > 0.5), lambda t: t["called"])
-    general = F.when(F.size(F.filter("ts", lambda t: t["c"] > 0.3)) > 2, F.array(*map(F.lit, C.GENERAL_RECOMMENDATIONS))).otherwise(F.array().cast("array<string>"))
-    weighted = F.aggregate("ts", F.lit(0.0), lambda a, t: a + t["c"] * t["weight"])
-    weights = F.aggregate("ts", F.lit(0.0), lambda a, t: a + t["weight"])
-    return whole.select(
-        id_col,
+def summary(ts: Column, categories: Sequence[C.Category] = C.CATEGORIES) -> Column:
+    """Of an array of topics: categories_found, total_findings, confidence_score, key_findings, recommendations (sorted),
+    description, and the topics without their findings."""
+    none = F.array().cast("array<string>")
+
+    def advice(t: Column) -> Column:
+        out = none
+        for c in categories:
+            out = F.when(t["category"] == c.name, F.array(*map(F.lit, c.recommendations))).otherwise(out)
+        return F.when(t["confidence"] > 0.5, out).otherwise(none)
+
+    def called(t: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for c in categories:
+            out = F.when(t["category"] == c.name, F.lit(c.description)).otherwise(out)
+        return out
+
+    found = F.transform(F.filter(ts, lambda t: t["finding_count"] > 0), lambda t: t["category"])
+    sure = F.transform(F.filter(ts, lambda t: t["confidence"] > 0.5), called)
+    general = F.when(F.size(F.filter(ts, lambda t: t["confidence"] > 0.3)) > 2, F.array(*map(F.lit, C.GENERAL_RECOMMENDATIONS))).otherwise(none)
+    weighted = F.aggregate(ts, F.lit(0.0), lambda a, t: a + t["confidence"] * t["weight"])
+    weights = F.aggregate(ts, F.lit(0.0), lambda a, t: a + t["weight"])
+    return F.struct(
         found.alias("categories_found"),
-        F.aggregate("ts", F.lit(0).cast("long"), lambda a, t: a + t["n"]).alias("total_findings"),
+        F.aggregate(ts, F.lit(0).cast("long"), lambda a, t: a + t["finding_count"]).alias("total_findings"),
         half_up(weighted / weights, 3).alias("confidence_score"),
-        F.slice(F.array_distinct(F.flatten("ts.highlights")), 1, 10).alias("key_findings"),
-        F.sort_array(F.array_distinct(F.concat(F.flatten("ts.advice"), general))).alias("recommendations"),
-        describe(found, sure).alias("description"),
+        F.slice(F.array_distinct(F.flatten(F.transform(ts, topic_highlights))), 1, 10).alias("key_findings"),
+        F.sort_array(F.array_distinct(F.concat(F.flatten(F.transform(ts, advice)), general))).alias("recommendations"),
+        let(F.struct(found.alias("f"), sure.alias("s")), lambda x: describe(x["f"], x["s"])).alias("description"),
+        F.transform(ts, lambda t: F.struct(t["category"].alias("category"), t["confidence"].alias("confidence"), t["finding_count"].alias("finding_count"))).alias("categories"),
     )
 
 
+def analysis(text: Column, categories: Sequence[C.Category] = C.CATEGORIES) -> Column:
+    """The summary of a text as one struct; nothing is shuffled."""
+    return let(topic_array(text, categories), lambda ts: summary(ts, categories))
+
+
 def analyze(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", categories: Sequence[C.Category] = C.CATEGORIES) -> DataFrame:
-    return summarize(topics(df, text_col, id_col, categories), id_col, categories)
+    """One row a document with its summary."""
+    # explode keeps the optimizer from copying the analysis into every column that is taken from it
+    return df.select(F.col(id_col), F.explode(F.array(analysis(F.col(text_col), categories))).alias("a")).select(id_col, "a.*")
 
 
 def entities(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", kinds: Sequence[str] | None = None) -> DataFrame:

@@ -16,29 +16,27 @@ WORKFLOWS = ("cleanse", "analyze", "both")
 
 
 def process(texts: DataFrame, workflow: str = "both", mode: str = "replace", client_names: Sequence[str] = ()) -> DataFrame:
-    """Results by file from rows with ``file_name, file_type, text, success, error``.
+    """Results by file from rows with ``file_name, file_type, text, success, error``, without a shuffle.
 
     Under ``both`` the cleaned text is analysed. Stages that the workflow leaves out aren't in the plan.
     """
     if workflow not in WORKFLOWS:
         raise ValueError(f"workflow must be one of {', '.join(WORKFLOWS)}")
-    named = texts.withColumn("__text", F.coalesce("text", F.lit("")))
-    rows = named.select("file_name", "file_type", "success", "error", F.current_timestamp().cast("string").alias("processing_timestamp"), F.char_length("text").cast("long").alias("text_length"), "__text")
+    text = F.coalesce("text", F.lit(""))
+    own = [c for c in ("path", "file_name", "file_type", "success", "error") if c in texts.columns]
+    rows = texts.select(*own, F.current_timestamp().cast("string").alias("processing_timestamp"), F.lit(None).cast("double").alias("processing_time"), F.char_length("text").cast("long").alias("text_length"), text.alias("__text"))
+    # explode keeps the optimizer from copying an expression to every column that is taken from it
+    once = lambda value, name: F.explode(F.array(value)).alias(name)
     if workflow != "analyze":
 
         def clean(fs):
             level = pii.risk(fs)
             return F.struct(pii.redact(F.col("__text"), mode, findings=fs).alias("cleaned_text"), level["risk_level"].alias("risk_level"), level["risk_score"].alias("risk_score"), level["pii_count"].alias("pii_count"), pii.statistics(fs)["pattern_types"].alias("pii_types"), level["recommendations"].alias("pii_recommendations"))
 
-        rows = rows.withColumn("__pii", let(pii.detect(F.col("__text"), client_names), clean))
-        rows = rows.select("*", "__pii.*").drop("__pii")
+        rows = rows.select("*", once(let(pii.detect(F.col("__text"), client_names), clean), "__pii")).select("*", "__pii.*").drop("__pii")
     if workflow != "cleanse":
         source = "cleaned_text" if workflow == "both" else "__text"
-        flat = security.topics(rows.select("file_name", F.col(source).alias("text")), "text", "file_name")
-        whole = security.summarize(flat, "file_name")
-        each = flat.groupBy("file_name").agg(F.array_sort(F.collect_list(F.struct("position", "category", "confidence", "finding_count"))).alias("c"))
-        each = each.select("file_name", F.transform("c", lambda x: F.struct(x["category"].alias("category"), x["confidence"].alias("confidence"), x["finding_count"].alias("finding_count"))).alias("categories"))
-        rows = rows.join(whole, "file_name", "left").join(each, "file_name", "left").withColumnRenamed("description", "file_description")
+        rows = rows.select("*", once(security.analysis(F.col(source)), "__a")).select("*", "__a.*").drop("__a").withColumnRenamed("description", "file_description")
     return rows.drop("__text")
 
 

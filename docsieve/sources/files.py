@@ -92,7 +92,7 @@ def read_texts(spark: SparkSession, path: str, readers: dict[str, Reader] | None
 def read_plain(spark: SparkSession, path: str) -> DataFrame:
     """Text files without Python: UTF-8 where it is valid, else Latin-1."""
     files = list_files(spark, path).where(F.col("file_type") == "txt")
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", F.lit("UTF-8"))).otherwise(F.decode("content", F.lit("ISO-8859-1")))
+    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), "file_type", text.alias("text"), F.col("length").alias("size"))
 
 

@@ -110,7 +110,7 @@ def write_listing(results: DataFrame, path: str, kind: str) -> str:
 def write_all(results: DataFrame, folder: str) -> dict[str, str]:
     """All reports under one time-stamped name; the results are computed once."""
     base = f"{folder}/security_report_{datetime.now(timezone.utc):%Y%m%d_%H%M%S}"
-    results = results.persist()
+    results = report.complete(results).persist()
     try:
         return {"json": write_json(results, f"{base}.json"), "csv": write_csv(results, f"{base}.csv"), "statistics": write_statistics(results, f"{base}_statistics"), "html": write_listing(results, f"{base}.html", "html"), "markdown": write_listing(results, f"{base}.md", "md")}
     finally:
