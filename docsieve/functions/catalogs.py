@@ -12,29 +12,36 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Pattern:
-    """A named detector: its regular expression, what replaces a match, and its weight in the risk score."""
+    """A named detector: its regular expression, what replaces a match, and its weight in the risk score.
+
+    ``needs``: a text can only match if it holds one of these strings (in lower case), or a digit where it is ``DIGIT``.
+    """
 
     name: str
     regex: str
     replacement: str = "[PII]"
     weight: int = 1
+    needs: tuple[str, ...] = ()
+
+
+DIGIT = ("0-9",)
 
 
 #: Personal data, matched without regard to case.
 PERSONAL = (
-    Pattern("email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", "[EMAIL]", 4),
-    Pattern("phone", r"(\+?1[-.\s]?)?\(?([0-9]{3})\)?[-.\s]?([0-9]{3})[-.\s]?([0-9]{4})", "[PHONE]", 4),
-    Pattern("ssn", r"\b\d{3}-?\d{2}-?\d{4}\b", "[SSN]", 5),
-    Pattern("credit_card", r"\b(?:\d{4}[-\s]?){3}\d{4}\b", "[CREDIT_CARD]", 5),
-    Pattern("ip_address", r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", "[IP_ADDRESS]", 2),
-    Pattern("url", r"https?://[!$-_a-z]+", "[URL]", 1),
-    Pattern("date", r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b|\b\d{4}[/-]\d{1,2}[/-]\d{1,2}\b", "[DATE]", 1),
-    Pattern("address", r"\b\d+\s+[A-Za-z\s]+(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct|Place|Pl)\b", "[ADDRESS]", 3),
-    Pattern("employee_id", r"\b(?:EMP|ID|E)\d{5,7}\b", "[EMPLOYEE_ID]", 3),
-    Pattern("token", r"\b[A-Z]{2}-\d{5,6}-[A-Z]{2,3}\b", "[TOKEN]", 3),
-    Pattern("organization", r"\b(?:Department|Dept|Organization|Org|Company|Corp|Corporation|Inc|Ltd)\b"),
-    Pattern("system_path", r"\b(?:C:\\|/usr/|/etc/|/var/|\\\\)[a-zA-Z0-9\\_/]+\b"),
-    Pattern("sensitive_terms", r"\b(?:confidential|secret|internal use only|privileged access|restricted)\b"),
+    Pattern("email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", "[EMAIL]", 4, needs=("@",)),
+    Pattern("phone", r"(\+?1[-.\s]?)?\(?([0-9]{3})\)?[-.\s]?([0-9]{3})[-.\s]?([0-9]{4})", "[PHONE]", 4, needs=DIGIT),
+    Pattern("ssn", r"\b\d{3}-?\d{2}-?\d{4}\b", "[SSN]", 5, needs=DIGIT),
+    Pattern("credit_card", r"\b(?:\d{4}[-\s]?){3}\d{4}\b", "[CREDIT_CARD]", 5, needs=DIGIT),
+    Pattern("ip_address", r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", "[IP_ADDRESS]", 2, needs=DIGIT),
+    Pattern("url", r"https?://[!$-_a-z]+", "[URL]", 1, needs=("://",)),
+    Pattern("date", r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b|\b\d{4}[/-]\d{1,2}[/-]\d{1,2}\b", "[DATE]", 1, needs=DIGIT),
+    Pattern("address", r"\b\d+\s+[A-Za-z\s]+(?:Street|St|Avenue|Ave|Road|Rd|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct|Place|Pl)\b", "[ADDRESS]", 3, needs=DIGIT),
+    Pattern("employee_id", r"\b(?:EMP|ID|E)\d{5,7}\b", "[EMPLOYEE_ID]", 3, needs=DIGIT),
+    Pattern("token", r"\b[A-Z]{2}-\d{5,6}-[A-Z]{2,3}\b", "[TOKEN]", 3, needs=DIGIT),
+    Pattern("organization", r"\b(?:Department|Dept|Organization|Org|Company|Corp|Corporation|Inc|Ltd)\b", needs=("dep", "org", "comp", "corp", "inc", "ltd")),
+    Pattern("system_path", r"\b(?:C:\\|/usr/|/etc/|/var/|\\\\)[a-zA-Z0-9\\_/]+\b", needs=("c:\\", "/usr/", "/etc/", "/var/", "\\\\")),
+    Pattern("sensitive_terms", r"\b(?:confidential|secret|internal use only|privileged access|restricted)\b", needs=("confidential", "secret", "internal use only", "privileged access", "restricted")),
 )
 
 #: What recognisers and the dictionary of client names find.

@@ -108,3 +108,17 @@ def post_process(text: Column) -> Column:
     t = F.regexp_replace(text, rf"{SPACES}*\[([^\]]+)\]{SPACES}*", " [$1] ")
     t = F.regexp_replace(t, rf"{SPACES}+", " ")
     return strip(F.regexp_replace(t, r"(?U)\.(?=\w)", ". "))
+
+
+def folded(text: Column) -> Column:
+    """The text for the search of lower-case ASCII words: letters that match ASCII ones without regard to case become those."""
+    return F.translate(F.lower(text), "ſıK", "sik")
+
+
+def word_guard(regex: str) -> tuple[str, ...]:
+    """Strings of which a text must hold one to match a pattern that begins with a choice of words, or a word; else none."""
+    m = re.match(r"\\b(?:\(\?:([^()]+)\)|([a-z][a-z-]+))", regex)
+    if not m:
+        return ()
+    words = [re.match(r"[a-z0-9-]*", w)[0] for w in (m[1] or m[2]).split("|")]
+    return tuple(words) if all(words) else ()

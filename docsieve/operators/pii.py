@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docsieve.functions import catalogs as C
-from docsieve.functions.text import flagged, let, literal_hits, normalize, post_process, spans, squeeze
+from docsieve.functions.text import flagged, folded, let, literal_hits, normalize, post_process, spans, squeeze
 
 MODES = ("replace", "mask", "remove")
 FINDING = "array<struct<kind:string,type:string,text:string,start:int,end:int,confidence:double>>"
@@ -42,18 +42,52 @@ def _found(kind: str, name: str, hits: Column, confidence: float | None) -> Colu
     return F.transform(hits, lambda x: F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("type"), x["text"].alias("text"), x["start"].alias("start"), x["end"].alias("end"), sure.alias("confidence")))
 
 
+def _guarded(text: Column, patterns: Sequence[C.Pattern], scan, none: Column, wrap) -> Column:
+    """Scans a text for each pattern that it can match at all: most texts lack what most patterns need, and a search for a
+    string or a digit is much cheaper than a scan."""
+
+    def body(g: Column) -> Column:
+        def may(p: C.Pattern) -> Column:
+            if p.needs == C.DIGIT:
+                return g["digit"]
+            out = F.lit(False)
+            for w in p.needs:
+                out = out | F.contains(g["low"], F.lit(w))
+            return out if p.needs else F.lit(True)
+
+        return wrap([F.when(may(p), scan(p)).otherwise(none) for p in patterns])
+
+    return let(F.struct(folded(text).alias("low"), text.rlike(r"\p{Nd}").alias("digit")), body)
+
+
 def detect(text: Column, client_names: Sequence[str] = (), entities: Column | None = None, patterns: Sequence[C.Pattern] = C.PERSONAL) -> Column:
     """Findings of a text: recognised entities (if a recogniser's column is given), then patterns in the catalog's order,
     then client names in alphabetical order; each with its place in code points."""
+    none = F.array().cast(FINDING)
+    scan = lambda p: _found("pattern", p.name, spans(text, flagged(p.regex, True)), None).cast(FINDING)
     parts = [entities.cast(FINDING)] if entities is not None else []
-    parts += [_found("pattern", p.name, spans(text, flagged(p.regex, True)), None) for p in patterns]
+    if patterns:
+        parts.append(_guarded(text, patterns, scan, none, lambda xs: F.concat(*xs)))
     parts += [_found("client_name", "client_name", literal_hits(text, n), None) for n in sorted({n.lower() for n in client_names if n})]
     return F.concat(*parts).cast(FINDING)
 
 
-def pattern_counts(text: Column, patterns: Sequence[C.Pattern] = C.PERSONAL) -> dict[str, Column]:
-    """Number of matches by pattern; nothing is located."""
-    return {p.name: F.coalesce(F.regexp_count(text, F.lit(flagged(p.regex, True))), F.lit(0)).cast("long") for p in patterns}
+def pattern_counts(text: Column, patterns: Sequence[C.Pattern] = C.PERSONAL) -> Column:
+    """A struct with the number of matches of each pattern; nothing is located."""
+    scan = lambda p: F.coalesce(F.regexp_count(text, F.lit(flagged(p.regex, True))), F.lit(0)).cast("long")
+    wrap = lambda xs: F.struct(*[x.alias(p.name) for x, p in zip(xs, patterns, strict=True)])
+    return _guarded(text, patterns, scan, F.lit(0).cast("long"), wrap)
+
+
+def with_counts(df: DataFrame, text_col: str = "text", *keep: str) -> DataFrame:
+    """The columns ``keep`` and one count column a pattern."""
+    # explode keeps the optimizer from copying the scan into every column that is taken from it
+    return df.select(*keep, F.explode(F.array(pattern_counts(F.col(text_col)))).alias("__c")).select(*keep, "__c.*")
+
+
+def counted_score() -> Column:
+    """The risk score from the columns of ``with_counts``."""
+    return sum((F.col(p.name) * p.weight for p in C.PERSONAL), F.lit(0)).cast("long")
 
 
 def statistics(findings: Column) -> Column:

@@ -8,36 +8,49 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsieve.functions import catalogs as C
-from docsieve.functions.text import context, flagged, half_up, let, sentences, spans, strip, word_count
+from docsieve.functions.text import context, flagged, folded, half_up, let, sentences, spans, strip, word_count, word_guard
 
 PATTERN_HITS = "array<struct<pattern:int,text:string,context:string,start:int,end:int>>"
 KEYWORD_HITS = "array<struct<keyword:string,sentence:string,context:string,start:int,end:int>>"
 
 
-def pattern_hits(text: Column, category: C.Category) -> Column:
-    """Matches of a topic's patterns, in the catalog's order and then by place, with 100 characters around."""
+def pattern_hits(text: Column, held: Column, category: C.Category) -> Column:
+    """Matches of a topic's patterns, in the catalog's order and then by place, with 100 characters around. ``held``: the
+    words of ``search_words`` in the text; a pattern is only scanned for if the text holds a word that it begins with."""
 
     def numbered(k: int):
         return lambda x: F.struct(F.lit(k).alias("pattern"), strip(x["text"]).alias("text"), context(text, x["start"], x["end"]).alias("context"), x["start"].alias("start"), x["end"].alias("end"))
 
-    parts = [F.transform(spans(text, flagged(regex, True)), numbered(k)) for k, regex in enumerate(category.patterns)]
-    return F.concat(*parts).cast(PATTERN_HITS)
+    def scan(k: int, regex: str) -> Column:
+        found = F.transform(spans(text, flagged(regex, True)), numbered(k)).cast(PATTERN_HITS)
+        guard = word_guard(regex)
+        return F.when(F.arrays_overlap(held, F.array(*map(F.lit, guard))), found).otherwise(F.array().cast(PATTERN_HITS)) if guard else found
 
+    return F.concat(*[scan(k, regex) for k, regex in enumerate(category.patterns)])
 
-def keyword_hits(text: Column, parts: Column, category: C.Category) -> Column:
-    """For each sentence and keyword in it (as a substring) the first occurrence; a repeated sentence counts at its first place."""
-    words = F.array(*[F.lit(k) for k in category.keywords])
 
-    def of(s: Column) -> Column:
-        first = F.instr(text, s) - 1
+def search_words(categories: Sequence[C.Category]) -> list[str]:
+    """Keywords of the topics and the words that their patterns begin with."""
+    return sorted({w for c in categories for w in (*c.keywords, *(g for r in c.patterns for g in word_guard(r)))})
 
-        def hit(k: Column) -> Column:
-            start = first + F.instr(F.lower(s), k) - 1
-            return F.struct(k.alias("keyword"), s.alias("sentence"), context(text, start, start + F.char_length(k)).alias("context"), start.alias("start"), (start + F.char_length(k)).alias("end"))
 
-        return F.transform(F.filter(words, lambda k: F.contains(F.lower(s), k)), hit)
+def keyword_hits(text: Column, parts: Column, held: Column, category: C.Category) -> Column:
+    """For each sentence (with its lower-cased form) and keyword in it (as a substring) the first occurrence; a repeated
+    sentence counts at its first place."""
+    words = F.filter(F.array(*[F.lit(k) for k in category.keywords]), lambda k: F.array_contains(held, k))
 
-    return F.flatten(F.transform(parts, of)).cast(KEYWORD_HITS)
+    def hit(s: Column):
+        def at(k: Column) -> Column:
+            start = F.instr(text, s["said"]) - 1 + F.instr(s["low"], k) - 1
+            return F.struct(k.alias("keyword"), s["said"].alias("sentence"), context(text, start, start + F.char_length(k)).alias("context"), start.alias("start"), (start + F.char_length(k)).alias("end"))
+
+        return at
+
+    def of(ws: Column):
+        return lambda s: F.transform(F.filter(ws, lambda k: F.contains(s["low"], k)), hit(s))
+
+    none = F.array().cast(KEYWORD_HITS)
+    return let(words, lambda ws: F.when(F.size(ws) == 0, none).otherwise(F.flatten(F.transform(parts, of(ws))).cast(KEYWORD_HITS)))
 
 
 def confidence(n_patterns: Column, n_keywords: Column, words: Column) -> Column:
@@ -51,10 +64,10 @@ def confidence(n_patterns: Column, n_keywords: Column, words: Column) -> Column:
 def topic_array(text: Column, categories: Sequence[C.Category] = C.CATEGORIES) -> Column:
     """An array with a struct for each topic: category, position, weight, patterns, keywords, finding_count, confidence."""
 
-    def scanned(t: Column, parts: Column, words: Column) -> Column:
+    def scanned(t: Column, parts: Column, words: Column, held: Column) -> Column:
         rows = F.array(
             *[
-                F.struct(F.lit(c.name).alias("category"), F.lit(k).alias("position"), F.lit(c.weight).alias("weight"), pattern_hits(t, c).alias("patterns"), keyword_hits(t, parts, c).alias("keywords"))
+                F.struct(F.lit(c.name).alias("category"), F.lit(k).alias("position"), F.lit(c.weight).alias("weight"), pattern_hits(t, held, c).alias("patterns"), keyword_hits(t, parts, held, c).alias("keywords"))
                 for k, c in enumerate(categories)
             ]
         )
@@ -66,7 +79,14 @@ def topic_array(text: Column, categories: Sequence[C.Category] = C.CATEGORIES) -
 
         return F.transform(rows, counted)
 
-    return let(F.coalesce(text, F.lit("")), lambda t: let(sentences(t), lambda s: let(word_count(t), lambda w: scanned(t, s, w))))
+    search = F.array(*map(F.lit, search_words(categories)))
+
+    def read(t: Column) -> Column:
+        held = let(folded(t), lambda low: F.filter(search, lambda w: F.contains(low, w)))
+        said = F.transform(sentences(t), lambda s: F.struct(s.alias("said"), F.lower(s).alias("low")))
+        return let(held, lambda h: let(said, lambda s: let(word_count(t), lambda w: scanned(t, s, w, h))))
+
+    return let(F.coalesce(text, F.lit("")), read)
 
 
 def topics(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", categories: Sequence[C.Category] = C.CATEGORIES) -> DataFrame:
@@ -74,6 +94,35 @@ def topics(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", catego
     return df.select(F.col(id_col), F.inline(topic_array(F.col(text_col), categories)))
 
 
+def topic_counts(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", categories: Sequence[C.Category] = C.CATEGORIES) -> DataFrame:
+    """(id, category, n_patterns, n_keywords, finding_count, confidence) where no finding has to be located."""
+    search = F.array(*map(F.lit, search_words(categories)))
+
+    def patterns(t: Column, held: Column, c: C.Category) -> Column:
+        def scan(regex: str) -> Column:
+            n, guard = F.regexp_count(t, F.lit(flagged(regex, True))), word_guard(regex)
+            return F.when(F.arrays_overlap(held, F.array(*map(F.lit, guard))), n).otherwise(F.lit(0)) if guard else n
+
+        return sum(map(scan, c.patterns), F.lit(0)).cast("long")
+
+    def keywords(low: Column, held: Column, c: C.Category) -> Column:
+        words = F.filter(F.array(*map(F.lit, c.keywords)), lambda k: F.array_contains(held, k))
+        return F.aggregate(low, F.lit(0), lambda n, s: n + F.size(F.filter(words, lambda k: F.contains(s, k)))).cast("long")
+
+    def read(t: Column) -> Column:
+        held = let(folded(t), lambda low: F.filter(search, lambda w: F.contains(low, w)))
+        low = F.transform(sentences(t), lambda s: F.lower(s))
+
+        def rows(h: Column, s: Column) -> Column:
+            return F.array(*[F.struct(F.lit(c.name).alias("category"), patterns(t, h, c).alias("n_patterns"), keywords(s, h, c).alias("n_keywords")) for c in categories])
+
+        return let(held, lambda h: let(low, lambda s: rows(h, s)))
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    flat = df.select(F.col(id_col), word_count(text).alias("__w"), F.inline(let(text, read)))
+    return flat.select(id_col, "category", "n_patterns", "n_keywords", (F.col("n_patterns") + F.col("n_keywords")).alias("finding_count"), confidence(F.col("n_patterns"), F.col("n_keywords"), F.col("__w")).alias("confidence"))
+
+
 def title(name: Column) -> Column:
     return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docsieve.functions import catalogs as C
 from docsieve.functions import text as X
 from docsieve.operators import blocks, geometry, pii, regions, report, security
+from docsieve.sources.tables import spread
 from docsieve.streaming import findings
 
 #: Names for the dictionary scan.
@@ -20,12 +21,12 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def notes(spark: SparkSession, d: str) -> DataFrame:
     """Security texts made from events, different by type: (doc_id, event_type, ts, text)."""
-    e = table(spark, d, "events")
+    e = spread(table(spark, d, "events").select("event_id", "user_id", "event_type", "ts"))
     n, u = F.col("event_id").cast("string"), F.col("user_id").cast("string")
     ip = F.concat(F.lit("10.0."), F.pmod("user_id", F.lit(256)).cast("string"), F.lit(".1"))
     day = F.concat(F.lit("2024-0"), (F.pmod("event_id", F.lit(9)) + 1).cast("string"), F.lit("-1"), F.pmod("user_id", F.lit(10)).cast("string"), F.lit(" 10:00:0"), F.pmod("event_id", F.lit(10)).cast("string"))
@@ -92,15 +93,16 @@ def _as_long(df: DataFrame) -> DataFrame:
 # ---- personal data
 
 
+PERSONAL = [p.name for p in C.PERSONAL]
+
+
 def pii_type_counts(spark: SparkSession, d: str) -> DataFrame:
-    counts = pii.pattern_counts(F.col("text"))
-    flat = documents(spark, d).agg(*[F.sum(c).alias(n) for n, c in counts.items()])
-    return flat.select(F.inline(F.array(*[F.struct(F.lit(n).alias("pii_type"), F.coalesce(F.col(n), F.lit(0)).cast("long").alias("matches")) for n in counts])))
+    flat = pii.with_counts(documents(spark, d)).agg(*[F.sum(n).alias(n) for n in PERSONAL])
+    return flat.select(F.inline(F.array(*[F.struct(F.lit(n).alias("pii_type"), F.coalesce(F.col(n), F.lit(0)).cast("long").alias("matches")) for n in PERSONAL])))
 
 
 def pii_doc_counts(spark: SparkSession, d: str) -> DataFrame:
-    counts = pii.pattern_counts(F.col("text"))
-    return documents(spark, d).select("doc_id", *[c.alias(n) for n, c in counts.items()])
+    return pii.with_counts(documents(spark, d), "text", "doc_id")
 
 
 def _findings(spark: SparkSession, d: str, names: tuple[str, ...] = ()) -> DataFrame:
@@ -118,13 +120,9 @@ def dictionary_scan(spark: SparkSession, d: str) -> DataFrame:
     return _as_long(whole.select("doc_id", "client_name", F.col("text").alias("match"), F.col("start").alias("start_at"), F.col("end").alias("end_at")))
 
 
-def _score(text: Column) -> Column:
-    return sum((c * p.weight for p, c in zip(C.PERSONAL, pii.pattern_counts(text).values(), strict=True)), F.lit(0)).cast("long")
-
-
 def pii_risk_scores(spark: SparkSession, d: str) -> DataFrame:
-    counts = sum(pii.pattern_counts(F.col("text")).values(), F.lit(0)).cast("long")
-    rows = documents(spark, d).select("doc_id", _score(F.col("text")).alias("risk_score"), counts.alias("pii_count"))
+    counts = sum((F.col(n) for n in PERSONAL), F.lit(0)).cast("long")
+    rows = pii.with_counts(documents(spark, d), "text", "doc_id").select("doc_id", pii.counted_score().alias("risk_score"), counts.alias("pii_count"))
     return rows.select("doc_id", "risk_score", "pii_count", pii.risk_level(F.col("risk_score")).alias("risk_level"))
 
 
@@ -133,9 +131,9 @@ def pii_risk_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pii_recommendations(spark: SparkSession, d: str) -> DataFrame:
-    counts = pii.pattern_counts(F.col("text"))
-    rows = documents(spark, d).select("doc_id", pii.risk_level(_score(F.col("text"))).alias("level"), *[(counts[n] > 0).alias(n) for n, _ in C.FOUND_ADVICE])
-    return rows.select("doc_id", F.array_join(pii.advice(F.col("level"), {n: F.col(n) for n, _ in C.FOUND_ADVICE}), " | ").alias("recommendations"))
+    rows = pii.with_counts(documents(spark, d), "text", "doc_id")
+    level = pii.risk_level(pii.counted_score())
+    return rows.select("doc_id", F.array_join(pii.advice(level, {n: F.col(n) > 0 for n, _ in C.FOUND_ADVICE}), " | ").alias("recommendations"))
 
 
 def _redact(mode: str):
@@ -249,7 +247,7 @@ def keyword_hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def category_confidence(spark: SparkSession, d: str) -> DataFrame:
-    return _topics(spark, d).select("doc_id", "category", "finding_count", "confidence")
+    return security.topic_counts(notes(spark, d)).select("doc_id", "category", "finding_count", "confidence")
 
 
 def security_summary(spark: SparkSession, d: str) -> DataFrame:

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docsieve.functions.catalogs import PERSONAL
 from docsieve.operators import pii
 
 
 def finding_counts(stream: DataFrame, text_col: str, time_col: str, window: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
     """(window_start, window_end, pii_type, n): findings of a stream, or of a table, by type and tumbling window."""
-    counts = pii.pattern_counts(F.col(text_col))
-    rows = F.array(*[F.struct(F.lit(name).alias("pii_type"), c.alias("n")) for name, c in counts.items()])
+    rows = F.array(*[F.struct(F.lit(p.name).alias("pii_type"), F.col(p.name).alias("n")) for p in PERSONAL])
     # a watermark takes time-zoned times only
     watched = stream.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, late) if stream.isStreaming else stream
-    flat = watched.select(time_col, F.inline(rows)).where(F.col("n") > 0)
+    flat = pii.with_counts(watched, text_col, time_col).select(time_col, F.inline(rows)).where(F.col("n") > 0)
     return flat.groupBy(F.window(time_col, window).alias("w"), "pii_type").agg(F.sum("n").cast("long").alias("n")).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "pii_type", "n")
 
 
