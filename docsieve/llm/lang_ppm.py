@@ -54,6 +54,8 @@ class Model:
 
     def __init__(self, langs: list[str], to_symbol: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]]):
         self.langs, self.to_symbol = langs, to_symbol
+        if not langs:
+            return
         contexts = np.unique(np.concatenate([c // SYMBOLS for c, _ in counts] or [np.empty(0, np.int64)]))
         self.context_of = np.full(SYMBOLS**ORDER, -1, dtype=np.int32)
         keys: list[tuple[int, int]] = [(ORDER, int(c)) for c in contexts]

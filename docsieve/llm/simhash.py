@@ -140,10 +140,10 @@ def plan(classes: DataFrame) -> list[tuple[list[int], int]]:
         out = []
         for bits, more in zip(groups, excess, strict=True):
             share = within(p[bits], RADIUS)
-            out.append([0.0] + [n * ROW_S * sum(comb(len(bits), k) for k in range(t + 1)) + n * n / 2 * PAIR_S * min(1.0, share[t] * more) for t in range(RADIUS + 1)])
+            out.append([0.0] + [(n + 1) * ROW_S * sum(comb(len(bits), k) for k in range(t + 1)) + n * n / 2 * PAIR_S * min(1.0, share[t] * more) for t in range(RADIUS + 1)])
         return out
 
-    choice = min((allocate(costs(g := group_bits(n, together, m), [1.0] * m), RADIUS - m + 1)[1], m, g) for m in range(1, RADIUS + 2))
+    choice = min((allocate(costs(g := group_bits(n, together, m), [1.0] * m), RADIUS - m + 1)[1], m, g) for m in range(2, RADIUS + 2))
     groups = choice[2]
     # How much more often the partitions' values really collide than independent bits would.
     masks = F.array(*[F.lit(_mask(g)) for g in groups])
