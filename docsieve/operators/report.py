@@ -137,9 +137,10 @@ def pages(results: DataFrame, rows: int = 8, order: str = "file_name") -> DataFr
 
 def numbered_rows(df: DataFrame, *order: str) -> DataFrame:
     """``df`` with ``__row``, the place of each row in the order (from 1), counted in two steps: places within ranges of
-    the order, and how many rows the ranges before hold."""
+    the order, and how many rows the ranges before hold. The ranges come from a sample, so both steps must see one dealing
+    of the rows: it is persisted, and parts that are lost are computed again by the same ranges."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id())
+    ranged = df.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()).persist()
     sizes = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = F.broadcast(sizes.select("__range", before.alias("__before")))  # a row a range
