@@ -63,8 +63,13 @@ SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{202
 
 
 def literal_hits(name: str) -> str:
+    """Places of a name in ``a``, the letters of the lower-cased text."""
     n = len(name)
-    return f"list_transform(list_filter(range(1, greatest(1, length(text) - {n - 2})), lambda i: substring(lower(text), i, {n}) = {q(name)}), lambda p: {{'text': substring(text, p, {n}), 's': CAST(p - 1 AS BIGINT)}})"
+    same = " AND ".join(f"a[i + {k}] = {q(c)}" for k, c in enumerate(name))
+    return f"list_transform(list_filter(range(1, greatest(1, len(a) - {n - 2})), lambda i: {same}), lambda p: {{'text': substring(text, p, {n}), 's': CAST(p - 1 AS BIGINT)}})"
+
+
+LETTERS = "(SELECT *, string_split(lower(text), '') AS a FROM {})"
 
 
 def fold(found: list[tuple[str, str]], mode: str, source: str, spaced: bool) -> str:
@@ -231,7 +236,7 @@ ORACLE = {
     "pii_doc_counts": "SELECT doc_id, " + ", ".join(f"{e} AS {n}" for n, e in PERSONAL.items()) + " FROM documents",
     "pii_matches": "SELECT doc_id, pii_type, h.text AS match, h.s AS start_at, h.s + length(h.text) AS end_at FROM (" + flat_hits("documents", "doc_id", "pii_type", [(p.name, p.regex, True) for p in C.PERSONAL]) + ")",
     "dictionary_scan": " UNION ALL ".join(
-        f"SELECT doc_id, {q(n.lower())} AS client_name, substring(text, p, {len(n)}) AS match, CAST(p - 1 AS BIGINT) AS start_at, CAST(p - 1 + {len(n)} AS BIGINT) AS end_at FROM (SELECT doc_id, text, unnest(list_filter(range(1, length(text) - {len(n) - 2}), lambda i: substring(lower(text), i, {len(n)}) = {q(n.lower())})) AS p FROM documents WHERE contains(lower(text), {q(n.lower())}))"
+        f"SELECT doc_id, {q(n.lower())} AS client_name, h.text AS match, h.s AS start_at, h.s + {len(n)} AS end_at FROM (SELECT doc_id, unnest({literal_hits(n.lower())}) AS h FROM {LETTERS.format('documents')} WHERE contains(lower(text), {q(n.lower())}))"
         for n in NAMES
     ),
     "pii_risk_scores": f"SELECT doc_id, risk_score, pii_count, {LEVEL} AS risk_level FROM ({RISK})",
@@ -245,8 +250,8 @@ ORACLE = {
     "redact_mask": redacted("mask"),
     "redact_remove": redacted("remove"),
     "redact_report": f"""
-        WITH f AS ({fold(PERSONAL_HITS + CLIENT_HITS, "replace", "documents", True)}),
-        g AS (SELECT doc_id, text, {SQUEEZED} AS cleaned, CAST({TOTAL} AS BIGINT) AS total_patterns, {" + ".join(f"len({h})" for h, _ in CLIENT_HITS)} AS total_client_names, CAST({SCORE} AS BIGINT) AS patterns_score FROM f),
+        WITH f AS ({fold(PERSONAL_HITS + CLIENT_HITS, "replace", LETTERS.format("documents"), True)}),
+        g AS (SELECT doc_id, text, {SQUEEZED} AS cleaned, CAST({TOTAL} AS BIGINT) AS total_patterns, {" + ".join(f"len({h})" for h, _ in CLIENT_HITS)} AS total_client_names, CAST({SCORE} AS BIGINT) AS patterns_score FROM {LETTERS.format('f')}),
         h AS (SELECT *, patterns_score + 4 * total_client_names AS risk_score FROM g)
         SELECT doc_id, length(text) AS text_length, total_patterns, CAST(total_client_names AS BIGINT) AS total_client_names, {LEVEL} AS risk_level, CAST(risk_score AS BIGINT) AS risk_score,
             CASE WHEN length(cleaned) > 500 THEN substring(cleaned, 1, 500) || '...' ELSE cleaned END AS cleaned_preview, risk_score > 5 AS requires_cleaning FROM h
