@@ -1,6 +1,51 @@
 """DuckDB statements with the results of the queries that SQL can express."""
 
+from __future__ import annotations
+
+from .decontam import TOKEN, WINDOW
+
+
+def _shape(words: str) -> str:
+    """Tokens with placeholders for numbers, quantities and names."""
+    number = "CASE WHEN regexp_matches(x, '[\\p{L}%€$]$') THEN '#u' ELSE '#' END"
+    return f"list_transform({words}, lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN {number} WHEN lower(x[1]) <> x[1] THEN '@' ELSE x END)"
+
+
+_WINDOWS = f"unnest(range(1, len(shape) - {WINDOW - 2})) AS i"
+_SLOT = "IN ('#', '#u', '@')"
+
+DECONTAMINATION = f"""
+    WITH it AS (SELECT item_id, words, {_shape('words')} AS shape FROM (SELECT DISTINCT item_id, regexp_extract_all(text, '{TOKEN}') AS words FROM benchmark WHERE item_id IS NOT NULL)),
+    wins AS (
+        SELECT item_id, i - 1 AS ipos, array_to_string(shape[i:i + {WINDOW - 1}], ' ') AS h FROM (SELECT item_id, shape, {_WINDOWS} FROM it)
+        WHERE len(list_filter(shape[i:i + {WINDOW - 1}], lambda x: NOT x {_SLOT})) >= {WINDOW / 2}
+    ),
+    d AS (SELECT doc_id, own, {_shape('own')} AS shape FROM (SELECT doc_id, regexp_extract_all(text, '{TOKEN}') AS own FROM documents WHERE doc_id IS NOT NULL)),
+    spread AS (SELECT doc_id, i - 1 AS dpos, array_to_string(shape[i:i + {WINDOW - 1}], ' ') AS h FROM (SELECT doc_id, shape, {_WINDOWS} FROM d)),
+    counted AS (SELECT doc_id, item_id, dpos - ipos AS shift, count(DISTINCT ipos) AS windows FROM spread JOIN wins USING (h) GROUP BY ALL),
+    best AS (
+        SELECT * FROM counted JOIN (SELECT item_id, count(*) AS n_windows FROM wins GROUP BY item_id) USING (item_id)
+        WHERE windows >= 0.5 * n_windows QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY windows DESC, shift) = 1
+    ),
+    same AS (
+        SELECT b.*, it.words, it.shape, d.own,
+            list_filter(range(0, len(it.shape)), lambda i: i + b.shift >= 0 AND d.shape[i + b.shift + 1] = it.shape[i + 1]) AS same
+        FROM best b JOIN it USING (item_id) JOIN d USING (doc_id)
+    ),
+    slots AS (SELECT *, list_transform(list_filter(same, lambda i: shape[i + 1] {_SLOT}), lambda i: [words[i + 1], own[i + shift + 1]]) AS slots FROM same),
+    kept AS (
+        SELECT doc_id, item_id, shift, sum(most) AS kept FROM (
+            SELECT doc_id, item_id, shift, a, max(n) AS most FROM (SELECT doc_id, item_id, shift, s[1] AS a, s[2] AS b, count(*) AS n FROM (SELECT doc_id, item_id, shift, unnest(slots) AS s FROM slots) GROUP BY ALL) GROUP BY ALL
+        ) GROUP BY ALL
+    )
+    SELECT doc_id, item_id, shift AS first_token, windows, windows::DOUBLE / n_windows AS coverage, len(same)::DOUBLE / len(shape) AS agreement,
+        CASE WHEN len(slots) = 0 THEN 1.0::DOUBLE ELSE kept::DOUBLE / len(slots) END AS consistency
+    FROM slots LEFT JOIN kept USING (doc_id, item_id, shift)
+    WHERE len(same)::DOUBLE / len(shape) >= 0.6 AND (len(slots) = 0 OR kept::DOUBLE / len(slots) >= 0.75)
+"""
+
 ORACLE = {
+    "op3_decontamination": DECONTAMINATION,
     "op4_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
         g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY body)
