@@ -231,6 +231,22 @@ SUMMARY = f"""
         FROM d
     """
 
+
+
+def normalized(source: str) -> str:
+    """RE2 has no look-around: a replacement between word characters runs twice, for those that two of them share."""
+    twice = lambda t, mark, by: f"regexp_replace(regexp_replace({t}, '({WORD}){mark}({WORD})', '{by}', 'g'), '({WORD}){mark}({WORD})', '{by}', 'g')"
+    t = twice(twice(r"regexp_replace(text, '[\r\n\t\f\v]+', ' ', 'g')", "~", r"\1\2"), "-", r"\1 \2")
+    spaced = rf"regexp_replace(regexp_replace({t}, '{SPACE}+', ' ', 'g'), '{SPACE}*([.,!?]){SPACE}*', '\1 ', 'g')"
+    return f"SELECT doc_id, {strip(spaced)} AS text FROM ({source})"
+
+
+def post_processed(t: str) -> str:
+    boxed = rf"regexp_replace({t}, '{SPACE}*\[([^\]]+)\]{SPACE}*', ' [\1] ', 'g')"
+    stops = rf"regexp_replace(regexp_replace({boxed}, '{SPACE}+', ' ', 'g'), '\.([\p{{L}}\p{{N}}_])', '. \1', 'g')"
+    return strip(stops)
+
+
 ORACLE = {
     "pii_type_counts": "SELECT pii_type, CAST(coalesce(n, 0) AS BIGINT) AS matches FROM (SELECT " + ", ".join(f"sum({e}) AS {n}" for n, e in PERSONAL.items()) + " FROM documents) UNPIVOT INCLUDE NULLS (n FOR pii_type IN (" + ", ".join(PERSONAL) + "))",
     "pii_doc_counts": "SELECT doc_id, " + ", ".join(f"{e} AS {n}" for n, e in PERSONAL.items()) + " FROM documents",
@@ -266,16 +282,9 @@ ORACLE = {
     "row_text": f"WITH {SHEET} SELECT c_custkey, concat_ws(' | ', CAST(c_custkey AS VARCHAR), full_name, email, note) AS line FROM s",
     "cell_lines": f"WITH {SHEET} SELECT c_custkey, 0::BIGINT AS position, 'Employee Full Name: ' || full_name AS line FROM s WHERE full_name IS NOT NULL UNION ALL SELECT c_custkey, 1, 'Supervisor Email: ' || email FROM s WHERE email IS NOT NULL UNION ALL SELECT c_custkey, 2, 'note: ' || note FROM s WHERE note IS NOT NULL",
     "nested_clean": "SELECT event_id, '[AWS_RESOURCE]' AS who, '[RESOURCE_NAME],plain' AS tags FROM events",
-    "text_normalized": rf"""
-        WITH a AS (SELECT doc_id, regexp_replace(text, '[\r\n\t\f\v]+', ' ', 'g') AS t FROM documents),
-        b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '({WORD})~({WORD})', '\1\2', 'g'), '({WORD})~({WORD})', '\1\2', 'g') AS t FROM a),
-        c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '({WORD})-({WORD})', '\1 \2', 'g'), '({WORD})-({WORD})', '\1 \2', 'g') AS t FROM b)
-        SELECT doc_id, {strip(f"regexp_replace(regexp_replace(t, '{SPACE}+', ' ', 'g'), '{SPACE}*([.,!?]){SPACE}*', '{chr(92)}1 ', 'g')")} AS text FROM c
-    """,
-    "text_post_processed": rf"""
-        WITH t AS (SELECT doc_id, trim(regexp_replace(replace(text, '|', '[BAR]'), '{SPACE}+', ' ', 'g')) AS t FROM documents)
-        SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '{SPACE}*\[([^\]]+)\]{SPACE}*', ' [\1] ', 'g'), '{SPACE}+', ' ', 'g'), '\.([\p{{L}}\p{{N}}_])', '. \1', 'g'), '^{SPACE}+|{SPACE}+$', '', 'g') AS text FROM t
-    """,
+    "text_normalized": normalized("SELECT doc_id, text FROM documents"),
+    "text_post_processed": f"SELECT doc_id, {post_processed('t')} AS text FROM (SELECT doc_id, trim(regexp_replace(replace(text, '|', '[BAR]'), '{SPACE}+', ' ', 'g')) AS t FROM documents)",
+    "clean_lines": f"SELECT doc_id, {post_processed('t')} AS line FROM (SELECT doc_id, {SQUEEZED} AS t FROM ({fold(PERSONAL_HITS, 'replace', '(' + normalized('SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents') + ')', True)}))",
     "label_risk": f"SELECT quality, count(*) AS docs, CAST(sum(pii_count) AS BIGINT) AS pii_items, max(risk_score) AS largest_score FROM ({RISK}) JOIN labels USING (doc_id) GROUP BY quality",
     **{f"extract_{kind}": entity(kind, source) for kind, source in ENTITY_SOURCES.items()},
     "category_pattern_hits": f"WITH {HITS} SELECT doc_id, category, pattern, match, {around('text', 'start_at', 'end_at', 100)} AS context, start_at FROM phits",
