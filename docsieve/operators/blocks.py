@@ -61,3 +61,10 @@ def best_candidate(rows: DataFrame, *region: str) -> DataFrame:
     """The reading of each region to use: command-line readings first, then the highest confidence, then the first."""
     rank = F.struct(F.col("is_cli").cast("int").alias("a"), F.col("conf").alias("b"), (-F.col("seq")).alias("c"))
     return rows.groupBy(*region).agg(F.max_by(F.struct("text", "conf", "is_cli"), rank).alias("best")).select(*region, "best.*")
+
+
+def word_lines(words: DataFrame, *image: str) -> DataFrame:
+    """(image columns, text): a line ``[left, top] word`` for each recognised word, in order."""
+    line = F.format_string("[%d, %d] %s", F.col("left"), F.col("top"), F.col("text"))
+    said = words.where((strip(F.col("text")) != "") & (F.col("conf") > 0)).select(*image, F.struct("seq", line.alias("line")).alias("__l"))
+    return said.groupBy(*image).agg(F.array_join(F.transform(F.array_sort(F.collect_list("__l")), lambda x: x["line"]), "\n").alias("text"))

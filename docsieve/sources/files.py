@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import office, providers
+from . import images, office, providers
 
 SUPPORTED = ("pdf", "jpg", "jpeg", "png", "xlsx", "pptx", "zip", "txt")
 SCHEMA = "path string, file_name string, file_type string, text string, success boolean, is_scanned boolean, error string, extracted_files array<string>, size long"
@@ -129,3 +129,32 @@ def read_workbook(spark: SparkSession, path: str, sheet: int = 0) -> DataFrame:
     names = [n or f"column_{i}" for i, n in enumerate(header)]
     schema = ", ".join(f"`{n}` string" for n in names)
     return spark.createDataFrame([tuple((r + [None] * len(names))[: len(names)]) for r in rows], schema) if names else spark.createDataFrame([], "empty string")
+
+
+def _profile(kind: str, data: bytes) -> dict[str, int]:
+    if kind in ("png", "jpg", "jpeg"):
+        return images.profile(data)
+    if kind == "pptx":
+        return office.presentation_profile(data)
+    if kind == "xlsx":
+        found = office.sheets(data)
+        return {"sheets": len(found), "rows": sum(len(rows) for _, rows in found), "cells": sum(c is not None for _, rows in found for row in rows for c in row)}
+    if kind == "zip":
+        return {"members": sum(1 for _ in members(data))}
+    return {"characters": len(plain_text(data))} if kind == "txt" else {}
+
+
+def profiles(spark: SparkSession, path: str) -> DataFrame:
+    """(path, file_type, size, profile, error): counts that describe each file of a kind."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for p, kind, n, data in zip(batch["path"], batch["file_type"], batch["length"], batch["content"], strict=True):
+                try:
+                    rows.append((p, kind, n, _profile(kind, bytes(data)), None))
+                except Exception as e:  # a row says what is wrong with its file
+                    rows.append((p, kind, n, {}, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "file_type", "size", "profile", "error"])
+
+    return list_files(spark, path).mapInPandas(run, "path string, file_type string, size long, profile map<string,bigint>, error string")

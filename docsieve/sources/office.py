@@ -83,3 +83,38 @@ def presentation_profile(data: bytes) -> dict[str, int]:
     with zipfile.ZipFile(BytesIO(data)) as z:
         parts = [z.read(n).decode("utf-8", "replace") for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)]
     return {"slides": len(parts), "tables": sum(p.count("<a:tbl>") for p in parts), "text_boxes": sum(p.count("<p:txBody>") for p in parts), "pictures": sum(p.count("<p:pic>") for p in parts)}
+
+
+def workbook(header: list[str], rows: list[list[str | None]], redacted: set[int] = frozenset()) -> bytes:
+    """A workbook of one sheet of texts; the cells of ``redacted`` columns are white on red."""
+    from xml.sax.saxutils import escape
+
+    def name(i: int) -> str:
+        out = ""
+        i += 1
+        while i:
+            i, r = divmod(i - 1, 26)
+            out = chr(65 + r) + out
+        return out
+
+    def cell(value: str | None, column: int, row: int, style: int) -> str:
+        return "" if value is None else f'<c r="{name(column)}{row}" s="{style}" t="inlineStr"><is><t xml:space="preserve">{escape(value)}</t></is></c>'
+
+    lines = [f'<row r="{r}">' + "".join(cell(v, c, r, int(r > 1 and c in redacted)) for c, v in enumerate(values)) + "</row>" for r, values in enumerate([header, *rows], 1)]
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+    head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+    parts = {
+        "[Content_Types].xml": f'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="{kind}.worksheet+xml"/><Override PartName="/xl/styles.xml" ContentType="{kind}.styles+xml"/></Types>',
+        "_rels/.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/workbook.xml": f'<workbook {ns} xmlns:r="{rel}"><sheets><sheet name="Sheet1" sheetId="1" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Type="{rel}/styles" Target="styles.xml"/></Relationships>',
+        "xl/styles.xml": f'<styleSheet {ns}><fonts count="2"><font/><font><color rgb="FFFFFFFF"/></font></fonts><fills count="3"><fill><patternFill patternType="none"/></fill><fill><patternFill patternType="gray125"/></fill><fill><patternFill patternType="solid"><fgColor rgb="FFFF0000"/></patternFill></fill></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="2"><xf/><xf fontId="1" fillId="2" applyFont="1" applyFill="1"/></cellXfs></styleSheet>',
+        "xl/worksheets/sheet1.xml": f"<worksheet {ns}><sheetData>{''.join(lines)}</sheetData></worksheet>",
+    }
+    out = BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for part, body in parts.items():
+            z.writestr(part, head + body)
+    return out.getvalue()

@@ -8,7 +8,8 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsieve.operators import report
+from docsieve.operators import pii, report
+from docsieve.sources import office
 
 
 def write_texts(results: DataFrame, path: str, text_col: str = "cleaned_text") -> None:
@@ -16,18 +17,40 @@ def write_texts(results: DataFrame, path: str, text_col: str = "cleaned_text") -
     results.select(F.concat(F.lit("cleaned_"), F.regexp_replace("file_name", r"\.\w+$", ""), F.lit(".txt")).alias("name"), F.col(text_col).alias("text")).write.mode("overwrite").parquet(path)
 
 
-def put(spark, path: str, text: str) -> str:
+def put(spark, path: str, text: str | bytes) -> str:
     """Write one small file by the file system of the path."""
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
     try:
-        out.write(bytearray(text, "utf-8"))
+        out.write(bytearray(text, "utf-8") if isinstance(text, str) else bytearray(text))
     finally:
         out.close()
     return path
 
 
+SHEET_ROWS = 1_048_575  # what a sheet of the format can hold below its header
+
+
+def write_workbook(df: DataFrame, path: str, sensitive: dict[str, str], replacements: dict[str, str], mode: str = "replace") -> str:
+    """The redacted sheet as a workbook with its redacted cells marked. Sheets beyond the format's size are an error; use a
+    table for those."""
+    rows = pii.redact_sheet(df, sensitive, replacements, mode)
+    held = rows.select(*[F.col(f"`{c}`").cast("string") for c in rows.columns]).limit(SHEET_ROWS + 1).collect()
+    if len(held) > SHEET_ROWS:
+        raise ValueError(f"a sheet holds at most {SHEET_ROWS} rows")
+    marked = {i for i, c in enumerate(df.columns) if c.lower() in sensitive}
+    return put(df.sparkSession, path, office.workbook(df.columns, [list(r) for r in held], marked))
+
+
+WORKFLOW = ("files", "extract text", "detect and redact personal data", "score risk", "analyse security content", "extract entities", "aggregate reports")
+
+
+def write_workflow(spark, path: str) -> str:
+    """The stages of the pipeline as a text diagram."""
+    return put(spark, path, "\n   |\n   v\n".join(f"[{w}]" for w in WORKFLOW) + "\n")
+
+
 def summary(results: DataFrame) -> dict:
     """The figures of ``overview`` with the histograms by type, level and topic; complete for no results, too."""
     return {

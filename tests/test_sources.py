@@ -81,3 +81,30 @@ def test_header_only_csv(spark, tmp_path):
 
 def test_client_names():
     assert files.client_names('{"client_names": ["B", "a"]}') == files.client_names('["a", "b"]') == ["a", "b"]
+
+
+def test_profiles(spark, tmp_path):
+    path = folder(tmp_path)
+    (tmp_path / "i.png").write_bytes(b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (7).to_bytes(4, "big") + (5).to_bytes(4, "big") + b"\x08\x02\0\0\0")
+    (tmp_path / "j.jpg").write_bytes(b"\xff\xd8\xff\xe0\0\x04ab\xff\xc0\0\x11\x08\0\x05\0\x07\x03" + b"\0" * 20)
+    rows = {r.path.rpartition("/")[2]: r for r in files.profiles(spark, path).collect()}
+    assert rows["i.png"].profile == {"width": 7, "height": 5, "channels": 3} == rows["j.jpg"].profile
+    assert rows["z.zip"].profile == {"members": 1} and rows["p.pptx"].profile["slides"] == 1 and rows["s.xlsx"].profile["cells"] == 4
+    assert rows["bad.xlsx"].error
+
+
+def test_redacted_workbook(spark, tmp_path):
+    from docsieve.functions import catalogs as C
+
+    df = spark.createDataFrame([("Ann <1>", "a"), (None, "b")], "`Employee Full Name` string, note string")
+    writers.write_workbook(df, str(tmp_path / "w.xlsx"), C.SENSITIVE_SHEET, C.SHEET_REPLACEMENTS)
+    assert [tuple(r) for r in files.read_workbook(spark, str(tmp_path / "w.xlsx")).collect()] == [("[REDACTED NAME]", "a"), (None, "b")]
+    writers.write_workflow(spark, str(tmp_path / "flow.txt"))
+    assert "[score risk]" in (tmp_path / "flow.txt").read_text()
+
+
+def test_word_lines(spark):
+    from docsieve.operators import blocks
+
+    w = spark.createDataFrame([(1, 2, "b", 90.0, 3, 4), (1, 1, "a", 90.0, 1, 2), (1, 3, " ", 90.0, 0, 0), (1, 4, "low", 0.0, 0, 0)], "image int, seq int, text string, conf double, left int, top int")
+    assert blocks.word_lines(w, "image").first().text == "[1, 2] a\n[3, 4] b"
