@@ -46,6 +46,8 @@ MARKS = frozenset(
     "sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs topbar masthead footer foot copyright comment comments commentlist reply replies respond disqus discussion share sharing social related recommended recommendations "
     "widget widgets toolbar pagination pager search hidden toc skip".split()
 )
+#: Words that tell a page's header from an article's.
+PAGE_HEADER = frozenset("site page global top".split())
 MARK_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)""", re.S)
@@ -61,8 +63,10 @@ def _dropped(tag: str, attributes: str, inside_article: bool) -> bool:
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value.lower() in ROLES):
             return True
-        if name in ("class", "id") and any(w.lower() in MARKS for w in MARK_WORD.findall(value)):
-            return True
+        if name in ("class", "id"):
+            words = {w.lower() for w in MARK_WORD.findall(value)}
+            if words & MARKS or not inside_article and "header" in words and (len(words) == 1 or words & PAGE_HEADER):
+                return True
     return False
 
 

@@ -227,6 +227,8 @@ def test_nearest_pages_share_the_frame(spark):
 def test_page_parts():
     page = "<html><head><title>T</title></head><body><header>top</header><div class='cookie-notice'>we</div><nav>x</nav><aside>a</aside><div id=content><h1>Title</h1><p>One &amp; two<br>three<p>Four</p><div class='reader-comments'><p>nice</p></div><form>f</form><span class=ad>buy</span> tail</div><footer>f</footer><script>var a='<p>no</p>'</script>"
     assert html_main.main_text(html_main.blocks(page), set()) == "Title\n\nOne & two three\n\nFour\n\ntail"
+    headed = "<div class='site-header'>Logo</div><div class='post-header'><h1>H</h1></div><p>P</p>"
+    assert html_main.main_text(html_main.blocks(headed), set()) == "H\n\nP"
     nested = "<nav>open <article><header><h1>H</h1></header><p>P</p><section class=comments><article>c</article></section></article> after"
     assert html_main.main_text(html_main.blocks(nested), set()) == "H\n\nP"
 
