@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Workspace, utf8
+from .shared import Workspace, rows_kept, utf8
 
 #: Leading hash bits that the first histogram counts, and those that each later round adds to overfull buckets.
 FIRST_BITS, MORE_BITS, MAX_BITS = 10, 4, 40
@@ -158,5 +158,4 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 128 << 20) -> DataFrame:
     """The rows whose id is the one kept of their group, with all columns; of rows alike in id and text, one."""
-    keep = exact_groups(docs, id_col, text_col, capacity).where("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["__keep"]), "left_semi").dropDuplicates([id_col, text_col])
+    return rows_kept(docs, exact_groups(docs, id_col, text_col, capacity).where("kept").select("doc_id"), id_col, text_col)

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +45,19 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def rows_kept(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is in ``kept`` (one column, a row for each row that stays), nulls included.
+
+    Of rows alike in id and text one stays. That needs a second shuffle of the texts, so it is only planned where an id
+    really is kept more than once.
+    """
+    kept = Workspace(docs.sparkSession, "kept").keep(kept.toDF("__keep"), "ids")
+    ids = kept.groupBy("__keep").count()
+    # hashing the ids of a partition spares a sort of its texts
+    found = docs.join(ids.hint("shuffle_hash"), docs[id_col].eqNullSafe(ids["__keep"]), "left_semi")
+    return found if ids.where(F.col("count") > 1).isEmpty() else found.dropDuplicates([id_col, text_col])
+
+
 def utf8(column, empty: bytes = b"") -> list[bytes]:
     """The values of an Arrow string column as UTF-8 bytes, nulls as ``empty``."""
     import pyarrow as pa

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .shared import Workspace, utf8
+from .shared import Workspace, rows_kept, utf8
 
 BITS, RADIUS, WORDS, SEED = 64, 4, 4, 42
 #: Most fingerprints of a bucket that are compared with each other, and most of one that gives all its links.
@@ -282,5 +282,4 @@ def near_groups(docs: DataFrame, words: int = WORDS, bucket: int = BUCKET) -> Da
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """The row with the smallest doc_id of each group of near-duplicates, with its columns."""
-    kept = near_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__keep"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    return rows_kept(docs, near_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
