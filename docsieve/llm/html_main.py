@@ -153,9 +153,15 @@ def _parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def _compared(page: list[tuple[str, bool, bool]]) -> list[tuple[str, bool, bool]]:
+    marked = any(article and not dropped for _, article, dropped in page)
+    return [b for b in page if not b[1]] if marked else page
+
+
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _parts(batches):
-        pages = [blocks(h or "") for h in batch.column(1).to_pylist()]
+        # the lines of a marked article are never deleted, so only the frame around it is compared
+        pages = [_compared(blocks(h or "")) for h in batch.column(1).to_pylist()]
         lines = pa.array([[_hash(t) for t, _, _ in p] for p in pages], pa.list_(pa.int64()))
         sizes = pa.array([[len(t) for t, _, _ in p] for p in pages], pa.list_(pa.int32()))
         yield pa.RecordBatch.from_arrays([batch.column(0), lines, sizes], names=["page_id", "lines", "sizes"])
