@@ -171,6 +171,15 @@ def test_fuzzy_and_shared_passages(spark):
     assert len(found) <= 39 * 4  # two links a copy and the stretches they point to, not 39 * 38 pairs
 
 
+def test_passages_of_frequent_lines(spark):
+    one, two = prose(31, 30), prose(32, 30)
+    rows = [(k, " ".join([prose(300 + k, 40), (one, two)[k % 2], prose(400 + k, 40)])) for k in range(1, 60)]
+    rows += [(k, " ".join([prose(300 + k, 40), one, two, prose(400 + k, 40)])) for k in (70, 90)] + [(k, " ".join([(one, two)[k % 2], prose(500 + k, 40)])) for k in range(71, 90)]
+    for parts in (1, 5):
+        found = substring_dedup.repeated_passages(docs(spark, rows).repartition(parts)).collect()
+        assert [(r.doc_id, r.n_words, r.rep_doc_id) for r in found if r.role == "copy"] == [(90, 60, 70)]
+
+
 def test_chains_follow_both_orders():
     pos, rpos = [0, 10, 20, 30, 30], [100, 110, 5, 130, 6]
     longest = max(substring_dedup.chains(pos, rpos), key=len)
