@@ -103,6 +103,15 @@ def test_reparameterised_questions(spark):
     assert sorted(r.doc_id for r in decontam.drop_contaminated(rows, bench).collect()) == [2, 3]
 
 
+def test_inserted_dropped_and_recased_words(spark):
+    text = "A train leaves Boston at 40 km per hour and another train follows it from the same place at 60 km per hour, so when do both of the trains meet on their way to the far coast"
+    bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+    w = text.split()
+    copies = [" ".join(w[:18] + ["very"] + w[18:]), " ".join(w[:17] + w[18:]), text.lower(), text.upper(), text.replace("Boston", "St. Louis").replace("60", "3/4")]
+    rows = docs(spark, [(k, f"{prose(k, 20)} {c} {prose(k + 50, 20)}") for k, c in enumerate(copies)] + [(9, prose(9, 200)), (10, " ".join(w[:12]))])
+    assert sorted(r.doc_id for r in decontam.contaminated(rows, bench).collect()) == [0, 1, 2, 3, 4]
+
+
 def test_slots_must_be_consistent(spark):
     bench = spark.createDataFrame([(1, "take 5 then add 5 and add 5 and then add 5 again and then add 5 and add 5 once more and add 5 more")], "item_id long, text string")
     steady = "take 7 then add 7 and add 7 and then add 7 again and then add 7 and add 7 once more and add 7 more"
