@@ -1,21 +1,23 @@
 """Main text of HTML pages by nearest-URL page differencing.
 
 Pages of a host are sorted by URL path; each page is paired with the neighbour whose path shares the longer prefix (ties:
-the one before). The text lines (blocks) of both are aligned by their longest common subsequence and shared lines are
-deleted: what two neighbouring pages have in common is the site's frame. If almost all of a page's lines are shared, the
-pair are copies of one page and tell nothing of the frame; then the other neighbour is taken, or none.
+the one before). The text lines (blocks) of both, those of the article too, are aligned by their longest common subsequence.
+A shared line is a vote that it belongs to the site's frame, and goes if at least half of the host's pages (and LEAST_PAGES)
+gave that vote: neighbouring articles do share passages, which the plain rule (every shared line goes) would lose, but
+hardly half of a site. Pairs whose text is shared almost whole are copies of one page, tell nothing of the frame and
+have no vote. A page of which nothing would be left keeps its lines.
 
-The page's structure decides the rest. Menus, page headers, footers, asides, forms, scripts, notices, adverts and reader
+The page's structure tells the rest. Menus, page headers, footers, asides, forms, scripts, notices, adverts and reader
 comments are known by their elements, roles and class names and go whole. Where a page marks its article (``article``,
-``main``), only that is text, and differencing leaves its lines alone: real articles of a host share passages, and to
-delete those would lose text.
+``main``), what stands outside goes too.
 
-The sort deals (host, path) ranges to tasks, so a host with a third of all pages is split; the first and last page of each
-range (two a partition) meet on the driver. Only line hashes are joined between pages, never texts.
+The sort deals (host, path) ranges to tasks, so a host with a third of all pages is split; the first and last two pages of
+each range (four a partition) meet in one small task. Line hashes are shuffled; pages are only where lines of more than
+BROADCAST_HASHES were voted out, and otherwise are read where they lie.
 
 Defined results: null html is an empty page with empty text; a null or odd URL has the empty host; pages without a
-neighbour keep all lines; rows that repeat a page_id are each extracted, with one of them as the pair's page; pages cut
-off anywhere are read as far as they go; further columns are not read.
+neighbour keep all lines; rows that repeat a page_id are pages of their own; pages cut off anywhere are read as far as they
+go; further columns are not read.
 """
 
 from __future__ import annotations
@@ -32,51 +34,77 @@ from pyspark.sql import functions as F
 from .lcs import common
 from .shared import Workspace
 
+#: Least pages of a host that must share a line before it can go, share of the host's pages that must, and share of a
+#: page's text from which two pages are copies.
+LEAST_PAGES, FRAME, COPY = 3, 0.5, 0.8
+BROADCAST_HASHES = 2_000_000
+#: Parts that the voted lines of a host are dealt to, so that no host meets in one task.
+SALTS = 16
+
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is never shown as text of a page.
-RAW = re.compile(r"<(script|style|noscript|template|textarea|svg|iframe|object|head|title|select|math|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-DROPPED = frozenset("nav footer aside form dialog button menu".split())
+#: Elements whose content is never part of an article.
+DROPPED = frozenset("nav footer aside form dialog button menu head noscript template svg object select math canvas".split())
+#: Elements that may stand in a head; any other ends it, with or without its end tag.
+HEAD = frozenset("base link meta title style script noscript template".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words in class names and ids that mark what isn't the article.
+#: Words of class names and ids that mark what isn't the article.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login "
     "sidebar side aside menu nav navbar navigation breadcrumb breadcrumbs topbar masthead footer foot copyright comment comments commentlist reply replies respond disqus discussion share sharing social related recommended recommendations "
     "widget widgets toolbar pagination pager search hidden toc skip".split()
 )
+#: Words that may stand beside those; any other word (``has-sidebar``, ``no-comments``) makes a name mean something else.
+BESIDE = frozenset(
+    "a the site page main top bottom left right primary secondary global sub header bar box area wrapper wrap container content block section panel pane column col row grid list item items link links button buttons icon icons text label "
+    "title form field reader readers user users post posts article articles blog news web inner outer upper lower first second third last sticky fixed static mobile desktop slot unit space zone group set holder region layer mini small "
+    "large big wide full js id element module component div ul li google facebook twitter email mail media privacy policy law bottombar to".split()
+)
 #: Words that tell a page's header from an article's.
-PAGE_HEADER = frozenset("site page global top".split())
-MARK_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)""", re.S)
+PAGE_HEADER = frozenset("site page global top main".split())
+NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+#: A comment, a declaration, an element whose content is no markup, or a tag (whose quotes may be left open).
+TAG = re.compile(
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(script|style|textarea|title|iframe|xmp|noembed|noframes)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\b[^>]*>|\Z)"""
+    r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)""",
+    re.S | re.I,
+)
 SPACE = re.compile(r"\s+")
 
 
+def _marked(name: str, inside_article: bool) -> bool:
+    """Whether one class name or id marks what isn't the article."""
+    words = {w.lower() for w in NAME_WORD.findall(name)}
+    marks = words & MARKS
+    if marks and words <= MARKS | BESIDE:
+        return True
+    return not inside_article and "header" in words and words <= PAGE_HEADER | {"header"}
+
+
 def _dropped(tag: str, attributes: str, inside_article: bool) -> bool:
     if tag in DROPPED or (tag == "header" and not inside_article):
         return True
-    if not attributes or tag in ("html", "body", "article", "main") and "comment" not in attributes:
+    if not attributes or tag in ("html", "body", "main") or tag == "article" and "comment" not in attributes:
         return False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value.lower() in ROLES):
             return True
-        if name in ("class", "id"):
-            words = {w.lower() for w in MARK_WORD.findall(value)}
-            if words & MARKS or not inside_article and "header" in words and (len(words) == 1 or words & PAGE_HEADER):
-                return True
+        if name in ("class", "id") and any(_marked(x, inside_article) for x in value.split()):
+            return True
     return False
 
 
 def blocks(html: str) -> list[tuple[str, bool, bool]]:
-    """Text blocks in page order: (text, in a marked article, in an element that isn't the article)."""
-    html = RAW.sub(" ", html)
+    """Text blocks in page order: (text, in a marked article, in an element that isn't the article). Text of dropped
+    elements that don't make blocks (an advert within a line) is left out."""
     out: list[tuple[str, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, in article, dropped
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, in article, dropped, in a dropped element within a line
     held: list[str] = []
-    article = dropped = False
+    article = dropped = skipped = False
 
     def flush() -> None:
         text = SPACE.sub(" ", unescape("".join(held))).strip()
@@ -84,13 +112,20 @@ def blocks(html: str) -> list[tuple[str, bool, bool]]:
         if text:
             out.append((text, article, dropped))
 
+    def cut(k: int) -> None:
+        nonlocal article, dropped, skipped
+        del stack[k:]
+        article, dropped, skipped = stack[-1][1:] if stack else (False, False, False)
+
     at = 0
     for m in TAG.finditer(html):
-        if m.start() > at:
+        if m.start() > at and not skipped:
             held.append(html[at : m.start()])
         at = m.end()
-        close, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        close, tag, attributes = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
         if not tag:
+            if m[1] and not skipped:
+                held.append(" ")
             continue
         tag = tag.lower()
         block = tag in BLOCKS
@@ -101,45 +136,43 @@ def blocks(html: str) -> list[tuple[str, bool, bool]]:
             if block:
                 flush()
             if k >= 0:
-                if not block:
-                    flush()
-                del stack[k:]
-                article, dropped = stack[-1][1:] if stack else (False, False)
+                cut(k)
             continue
+        if stack and tag not in HEAD and any(t == "head" for t, *_ in stack):
+            flush()
+            cut(next(i for i, s in enumerate(stack) if s[0] == "head"))
         drops = _dropped(tag, attributes, article)
-        if not block and not drops and not (dropped and any(t == tag for t, _, _ in stack)):
+        if not block and not drops and not ((dropped or skipped) and any(t == tag for t, *_ in stack)):
             continue
-        flush()
+        inline = not block and tag != "head"
+        if not inline:
+            flush()
+        elif drops and not skipped:
+            held.append(" ")
         if tag in ("article", "main") and not article and not drops:
-            stack.clear()  # an element left open before the article doesn't hold it
-            dropped = False
+            cut(0)  # an element left open before the article doesn't hold it
         while stack and (stack[-1][0] == "p" and block or stack[-1][0] == tag and tag in ("li", "dt", "dd", "tr", "td", "th")):
-            stack.pop()
-            article, dropped = stack[-1][1:] if stack else (False, False)
+            cut(len(stack) - 1)
         if tag in VOID or attributes.endswith("/"):
             continue
-        article, dropped = article or tag in ("article", "main"), dropped or drops
-        stack.append((tag, article, dropped))
-    if at < len(html):
+        article, dropped, skipped = article or tag in ("article", "main"), dropped or drops and not inline, skipped or drops and inline
+        stack.append((tag, article, dropped, skipped))
+    if at < len(html) and not skipped:
         held.append(html[at:])
     flush()
     return out
 
 
-def shared_lines(own: list[int], sizes: list[int], others: list[list[int]], copy: float = 0.8) -> list[int]:
-    """Places of the lines that a page shares with the first of ``others`` that isn't a copy of it."""
-    total = sum(sizes)
-    for other in others:
-        at = [i for i, _ in common(own, other)]
-        if sum(sizes[i] for i in at) < copy * total:
-            return at
-    return []
+def stays(page: list[tuple[str, bool, bool]]) -> list[str]:
+    """The lines that a page's structure leaves: those of the marked article, or without one all that aren't dropped."""
+    marked = any(article and not dropped for _, article, dropped in page)
+    return [text for text, article, dropped in page if not dropped and (article or not marked)]
 
 
-def main_text(page: list[tuple[str, bool, bool]], shared: set[int]) -> str:
-    """The article's blocks, or without one those that are neither dropped nor shared."""
-    marked = any(article and not dropped for _, article, dropped in page)
-    return "\n\n".join(text for i, (text, article, dropped) in enumerate(page) if not dropped and (article if marked else i not in shared))
+def main_text(page: list[tuple[str, bool, bool]], frame: set[int]) -> str:
+    """What structure leaves without the lines of the frame, or with them if nothing else is left."""
+    lines = stays(page)
+    return "\n\n".join([x for x in lines if _hash(x) not in frame] or lines if frame else lines)
 
 
 def _hash(text: str) -> int:
@@ -153,18 +186,16 @@ def _parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
-def _compared(page: list[tuple[str, bool, bool]]) -> list[tuple[str, bool, bool]]:
-    marked = any(article and not dropped for _, article, dropped in page)
-    return [b for b in page if not b[1]] if marked else page
+def _lists(rows: list, kind: pa.DataType) -> pa.Array:
+    return pa.array(rows, pa.list_(kind))
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _parts(batches):
-        # the lines of a marked article are never deleted, so only the frame around it is compared
-        pages = [_compared(blocks(h or "")) for h in batch.column(1).to_pylist()]
-        lines = pa.array([[_hash(t) for t, _, _ in p] for p in pages], pa.list_(pa.int64()))
-        sizes = pa.array([[len(t) for t, _, _ in p] for p in pages], pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), lines, sizes], names=["page_id", "lines", "sizes"])
+        pages = [blocks(h or "") for h in batch.column(3).to_pylist()]
+        lines = _lists([[_hash(t) for t, _, _ in p] for p in pages], pa.int64())
+        sizes = _lists([[len(t) for t, _, _ in p] for p in pages], pa.int32())
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), lines, sizes], names=["host", "path", "key", "lines", "sizes"])
 
 
 def _prefix(a: str, b: str) -> int:
@@ -176,99 +207,117 @@ def _prefix(a: str, b: str) -> int:
     return n
 
 
-def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Neighbours within a sorted range; the range's first and last page carry their host and path."""
-    names = ["page_id", "before", "after", "near", "at", "host", "path"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+def compare(before: tuple | None, own: tuple, after: tuple | None) -> tuple[list[int], bool]:
+    """The lines that a page, as (host, path, key, lines, sizes), shares with the nearer of its neighbours in the host, and
+    whether the two have a vote on the frame."""
+    near = [x for x in (before, after) if x and x[0] == own[0]]
+    if not near:
+        return [], False
+    other = max(near, key=lambda x: _prefix(x[1], own[1]))  # ties: the first
+    at = [i for i, _ in common(own[3], other[3])]
+    return sorted({own[3][i] for i in at}), sum(own[4][i] for i in at) < COPY * sum(own[4])
+
 
-    def table(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+PAIRED = "host string, key long, vote boolean, shared array<long>, path string, lines array<long>, sizes array<int>, decide boolean"
+_KINDS = [pa.string(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.bool_()]
 
-    window: list[tuple] = []  # (host, path, page_id) of the last two pages
-    place = None
-    first = True
+
+def _table(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=[x.split()[0] for x in PAIRED.split(", ")])
+
+
+def _found(before: tuple | None, own: tuple, after: tuple | None) -> tuple:
+    shared, vote = compare(before, own, after)
+    return own[0], own[2], vote, shared, None, None, None, None
+
+
+def _edge(own: tuple, decide: bool) -> tuple:
+    return own[0], own[2], None, None, own[1], own[3], own[4], decide
+
+
+def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compares the pages within a sorted range; its first two and last two pages are passed on as they are, since the
+    neighbours of the outer ones may lie in other ranges."""
+    window: list[tuple] = []  # the last three pages
+    n = 0
     for batch in batches:
         out = []
-        for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            place, row = row[3], row[:3]
-            window.append(row)
-            if len(window) == 2 and first:
-                out.append(_beside_row(None, window[0], window[1], place, True))
-                first = False
+        for own in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            n += 1
+            window.append(own)
+            if n == 1:
+                out.append(_edge(own, True))
             if len(window) == 3:
-                out.append(_beside_row(*window, place, False))
+                if n == 3:
+                    out.append(_edge(window[1], False))
+                out.append(_found(*window))
                 window.pop(0)
         if out:
-            yield table(out)
-    if window:
-        out = [_beside_row(None, window[0], None, place, True)] if first else [_beside_row(window[0], window[1], None, place, True)]
-        yield table(out)
-
-
-def _beside_row(a: tuple | None, own: tuple, b: tuple | None, place: int, edge: bool) -> tuple:
-    a, b = (x if x and x[0] == own[0] else None for x in (a, b))
-    near = -1 if not b or a and _prefix(a[1], own[1]) >= _prefix(b[1], own[1]) else 1
-    return own[2], a and a[2], b and b[2], near, place if edge else None, *(own[:2] if edge else (None, None))
-
-
-def pairs(pages: DataFrame, space: Workspace) -> DataFrame:
-    """(page_id, first, second): a page's neighbours by path in its host, the nearer first."""
-    spark = pages.sparkSession
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
-    path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = pages.select(host.alias("host"), path.alias("path"), F.col("page_id").cast("long").alias("page_id"))
-    ranged = keys.repartitionByRange(n, "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    found = space.keep(ranged.withColumn("at", F.spark_partition_id()).mapInArrow(_beside, "page_id long, before long, after long, near int, at int, host string, path string"), "beside")
-    inner = found.where(F.col("at").isNull()).select("page_id", "before", "after", "near")
-    edges = sorted(found.where(F.col("at").isNotNull()).collect(), key=lambda r: (r["at"], r["host"], r["path"], r["page_id"] is not None, r["page_id"] or 0))
-    fixed = []
-    for k, r in enumerate(edges):
-        own = (r["host"], r["path"], r["page_id"])
-        beyond = [(e["host"], e["path"], e["page_id"]) for e in (edges[k - 1 : k] if k and edges[k - 1]["at"] != r["at"] else []) + (edges[k + 1 : k + 2] if k + 1 < len(edges) and edges[k + 1]["at"] != r["at"] else [])]
-        before, after, near = r["before"], r["after"], r["near"]
-        for e in beyond:
-            if e[0] == own[0]:
-                if e[1] < own[1] or (e[1] == own[1] and (e[2] or 0) <= (own[2] or 0)):
-                    before = e[2]
-                else:
-                    after = e[2]
-        fixed.append((r["page_id"], before, after, near))
-    rows = inner.union(spark.createDataFrame(fixed, inner.schema)) if fixed else inner
-    nearer = F.when(F.col("near") < 0, F.col("before")).otherwise(F.col("after"))
-    other = F.when(F.col("near") < 0, F.col("after")).otherwise(F.col("before"))
-    return rows.select("page_id", F.coalesce(nearer, other).alias("first"), F.when(nearer.isNotNull(), other).alias("second")).dropDuplicates(["page_id"])
-
-
-def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield _table(out)
+    last = [_edge(window[0], False)] if n > 3 else []
+    if n > 1:
+        yield _table([*last, _edge(window[-1], True)])
+
+
+def _stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compares the outer pages of the ranges; the rows come sorted."""
+    before, own = None, None
     for batch in batches:
-        ids, own, sizes, one, two = (batch.column(i).to_pylist() for i in range(5))
-        got = [shared_lines(a, s, [x for x in (b, c) if x is not None]) for a, s, b, c in zip(own, sizes, one, two, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(got, pa.list_(pa.int32())), pa.array([[a[i] for i in g] for a, g in zip(own, got, strict=True)], pa.list_(pa.int64()))], names=["page_id", "shared", "hashes"])
+        out = []
+        for host, key, path, lines, sizes, decide in zip(*(batch.column(i).to_pylist() for i in (0, 1, 4, 5, 6, 7)), strict=True):
+            after = (host, path, key, lines, sizes, decide)
+            if own and own[5]:
+                out.append(_found(before, own, after))
+            before, own = own, after
+        if out:
+            yield _table(out)
+    if own and own[5]:
+        yield _table([_found(before, own, None)])
+
+
+def shared_lines(pages: DataFrame, space: Workspace) -> DataFrame:
+    """(host, key, vote, shared): a page's lines that its nearest page has too, as hashes."""
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines = space.keep(pages.mapInArrow(_lines, "host string, path string, key long, lines array<long>, sizes array<int>"), "lines")
+    order = ("host", "path", "key")
+    paired = space.keep(lines.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_beside, PAIRED), "paired")
+    edges = paired.where(F.col("decide").isNotNull()).repartition(1).sortWithinPartitions(*order)
+    kept = ("host", "key", "vote", "shared")
+    return paired.where(F.col("decide").isNull()).select(*kept).union(edges.mapInArrow(_stitch, PAIRED).select(*kept))
+
+
+def frame_lines(pages: DataFrame, space: Workspace) -> DataFrame:
+    """(key, frame): the hashes of a page's lines that were voted out; pages that keep all have no row."""
+    shared = space.keep(shared_lines(pages, space), "shared")
+    line = F.explode("shared").alias("line")
+    votes = shared.where("vote").select("host", line).groupBy("host", "line").agg(F.count(F.lit(1)).alias("votes"))
+    voters = shared.where("vote").groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    out = space.keep(votes.where(F.col("votes") >= LEAST_PAGES).join(voters, "host").where(F.col("votes") >= FRAME * F.col("pages")).select("host", "line"), "out")
+    if out.count() <= BROADCAST_HASHES:
+        found = shared.select("host", "key", line).join(F.broadcast(out), ["host", "line"])
+    else:
+        salted = out.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        found = shared.select("host", "key", line, F.pmod("key", F.lit(SALTS)).cast("int").alias("salt")).join(salted, ["host", "line", "salt"])
+    return space.keep(found.groupBy("key").agg(F.collect_set("line").alias("frame")), "frame")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _parts(batches):
-        ids, urls, htmls, shared, hashes = (batch.column(i).to_pylist() for i in range(5))
-        texts = []
-        for html, at, known in zip(htmls, shared, hashes, strict=True):
-            page = blocks(html or "")
-            texts.append(main_text(page, {i for i, h in zip(at or [], known or [], strict=True) if i < len(page) and _hash(page[i][0]) == h}))
+        ids, urls, htmls, frames = (batch.column(i).to_pylist() for i in range(4))
+        texts = [main_text(blocks(html or ""), set(frame or ())) for html, frame in zip(htmls, frames, strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text (empty if none), n_chars."""
     space = Workspace(pages.sparkSession, "html")
+    url = F.coalesce("url", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    lines = rows.select("page_id", "html").mapInArrow(_lines, "page_id long, lines array<long>, sizes array<int>")
-    one = space.keep(lines.dropDuplicates(["page_id"]), "lines")
-    near = pairs(rows, space)
-    own = near.join(one, near["page_id"].eqNullSafe(one["page_id"])).select(near["page_id"], "first", "second", "lines", "sizes")
-    a = one.select(F.col("page_id").alias("first"), F.col("lines").alias("lines1"))
-    b = one.select(F.col("page_id").alias("second"), F.col("lines").alias("lines2"))
-    both = own.join(a, "first", "left").join(b, "second", "left").select("page_id", "lines", "sizes", "lines1", "lines2")
-    shared = space.keep(both.mapInArrow(_choose, "page_id long, shared array<int>, hashes array<long>"), "shared")
-    # the one shuffle of pages; hashing the small side spares a sort of the large one
-    joined = rows.join(shared.hint("shuffle_hash"), rows["page_id"].eqNullSafe(shared["page_id"]), "left").select(rows["page_id"], "url", "html", "shared", "hashes")
-    return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    rows = rows.withColumn("key", F.xxhash64("page_id", "url", "html"))
+    host = F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
+    path = F.regexp_extract(url, r"^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*)?([^?#]*)", 1)
+    frame = frame_lines(rows.select(host.alias("host"), path.alias("path"), "key", "html"), space)
+    # the voted lines of all pages together are counted; beyond the bound, hashing them spares a sort of the pages
+    many = frame.agg(F.sum(F.size("frame") + 1)).first()[0] or 0
+    joined = rows.join(F.broadcast(frame) if many <= BROADCAST_HASHES else frame.hint("shuffle_hash"), "key", "left")
+    return joined.select("page_id", "url", "html", "frame").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -234,14 +234,6 @@ def test_thresholds_add_up():
     assert sum(chosen) == 0 and cost == 6.0 and chosen == [-1, 1, 0]
 
 
-def test_nearest_pages_share_the_frame(spark):
-    pages = spark.createDataFrame(
-        [(k, f"http://h.org/news/{k}", f"<div>Site name here</div><div>Body text number {k} of its own</div><div>Bottom line {'x' * 20}</div>") for k in range(30)] + [(99, "http://other.org/", "<div>Alone</div>")], "page_id long, url string, html string"
-    )
-    rows = {r.page_id: r.text for r in html_main.extract(pages).collect()}
-    assert all(rows[k] == f"Body text number {k} of its own" for k in range(30)) and rows[99] == "Alone"
-
-
 def test_page_parts():
     page = "<html><head><title>T</title></head><body><header>top</header><div class='cookie-notice'>we</div><nav>x</nav><aside>a</aside><div id=content><h1>Title</h1><p>One &amp; two<br>three<p>Four</p><div class='reader-comments'><p>nice</p></div><form>f</form><span class=ad>buy</span> tail</div><footer>f</footer><script>var a='<p>no</p>'</script>"
     assert html_main.main_text(html_main.blocks(page), set()) == "Title\n\nOne & two three\n\nFour\n\ntail"
