@@ -72,7 +72,6 @@ TAG = re.compile(
     r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)""",
     re.S | re.I,
 )
-SPACE = re.compile(r"\s+")
 
 
 def _marked(name: str, inside_article: bool) -> bool:
@@ -104,10 +103,10 @@ def blocks(html: str) -> list[tuple[str, bool, bool]]:
     out: list[tuple[str, bool, bool]] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # tag, in article, dropped, in a dropped element within a line
     held: list[str] = []
-    article = dropped = skipped = False
+    article = dropped = skipped = heads = False
 
     def flush() -> None:
-        text = SPACE.sub(" ", unescape("".join(held))).strip()
+        text = " ".join(unescape("".join(held)).split())
         held.clear()
         if text:
             out.append((text, article, dropped))
@@ -132,15 +131,17 @@ def blocks(html: str) -> list[tuple[str, bool, bool]]:
         if tag == "br":
             held.append(" ")
         if close:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
             if block:
                 flush()
-            if k >= 0:
-                cut(k)
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == tag:
+                    cut(k)
+                    break
             continue
-        if stack and tag not in HEAD and any(t == "head" for t, *_ in stack):
+        if heads and tag not in HEAD:
             flush()
-            cut(next(i for i, s in enumerate(stack) if s[0] == "head"))
+            cut(next((i for i, s in enumerate(stack) if s[0] == "head"), len(stack)))
+            heads = False
         drops = _dropped(tag, attributes, article)
         if not block and not drops and not ((dropped or skipped) and any(t == tag for t, *_ in stack)):
             continue
@@ -157,6 +158,7 @@ def blocks(html: str) -> list[tuple[str, bool, bool]]:
             continue
         article, dropped, skipped = article or tag in ("article", "main"), dropped or drops and not inline, skipped or drops and inline
         stack.append((tag, article, dropped, skipped))
+        heads = heads or tag == "head"
     if at < len(html) and not skipped:
         held.append(html[at:])
     flush()
