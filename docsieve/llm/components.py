@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Workspace
+from .shared import Workspace, join_groups
 
 
 def connected(edges: DataFrame, space: Workspace, a: str = "a", b: str = "b") -> DataFrame:
@@ -24,10 +24,12 @@ def connected(edges: DataFrame, space: Workspace, a: str = "a", b: str = "b") ->
             break
         state, turn = mark, turn + 1
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        # a hub's neighbours, which may be a third of all nodes, don't meet in one task
+        n = F.count(F.lit(1)).alias("n")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), n).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_groups(both, least, ["u"], "n", 2 * mark[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), n)
+        joined = join_groups(large, least, ["u"], "n", 2 * mark[0])
         small = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         now = space.keep(small.distinct(), f"stars{turn}")
         if turn > 1:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .shared import Workspace, rows_kept, utf8
+from .shared import Workspace, join_groups, rows_kept, text_key, utf8
 
 BITS, RADIUS, WORDS, SEED = 64, 4, 4, 42
 #: Most fingerprints of a bucket that are compared with each other, and most of one that gives all its links.
@@ -58,14 +58,14 @@ def fingerprint(data: bytes, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, key, fp): key is a hash of the text, fp the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = np.array([fingerprint(t, words) for t in utf8(batch.column(1))], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.int64())], names=["doc_id", "fp"])
+            got = np.array([fingerprint(t, words) for t in utf8(batch.column(2))], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.int64())], names=["doc_id", "key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), "text").mapInArrow(run, "doc_id long, key long, fp long")
 
 
 def _together(classes: DataFrame) -> tuple[int, np.ndarray]:
@@ -268,18 +268,30 @@ def links(classes: DataFrame, space: Workspace, bucket: int = BUCKET) -> DataFra
     return space.keep(found, "links")
 
 
-def near_groups(docs: DataFrame, words: int = WORDS, bucket: int = BUCKET) -> DataFrame:
-    """Per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links)."""
+def _classes(docs: DataFrame, words: int, bucket: int) -> tuple[DataFrame, DataFrame, int]:
+    """The fingerprints of all rows; of each fingerprint its rows, the first of them, as (doc_id, key), its root and
+    component_id; and the number of all rows."""
     space = Workspace(docs.sparkSession, "simhash")
     prints = space.keep(fingerprints(docs, words), "prints")
-    classes = space.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    roots = connected(links(classes, space, bucket), space)
-    named = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    first = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of = space.keep(named.join(first, "root").select("fp", "component_id"), "components")
-    return prints.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    total = prints.count()
+    classes = space.keep(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("doc_id", "key")).alias("first"), F.min("doc_id").alias("id")), "classes")
+    roots = connected(links(classes.select("fp"), space, bucket), space)
+    named = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "rows", "first", "id", F.coalesce("root", "fp").alias("root"))
+    sizes = named.groupBy("root").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("size"))
+    of = join_groups(named, sizes, ["root"], "size", total).select("fp", "rows", "first", "root", "component_id")
+    return prints, space.keep(of, "components"), total
+
+
+def near_groups(docs: DataFrame, words: int = WORDS, bucket: int = BUCKET) -> DataFrame:
+    """Per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links)."""
+    prints, of, total = _classes(docs, words, bucket)
+    return join_groups(prints, of, ["fp"], "rows", total).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, words: int = WORDS, bucket: int = BUCKET) -> DataFrame:
     """The row with the smallest doc_id of each group of near-duplicates, with its columns."""
-    return rows_kept(docs, near_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
+    prints, of, _ = _classes(docs, words, bucket)
+    first = of.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("id"), F.col("first.key").alias("first_key"))
+    rows = prints.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("rows"))
+    same = rows["doc_id"].eqNullSafe(first["id"]) & (rows["key"] == first["first_key"])
+    return rows_kept(docs, rows.join(first, same, "left_semi").select("doc_id", "key", "rows"))

@@ -86,7 +86,7 @@ ORACLE = {
     "op4_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
         g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY body)
-        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256
+        SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AND row_number() OVER (PARTITION BY body, doc_id) = 1 AS kept, sha256(body) AS text_sha256
         FROM d JOIN g USING (body)
     """,
     "op7_chat_format": r"""

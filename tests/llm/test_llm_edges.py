@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, further columns."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -69,30 +70,58 @@ def test_small_buckets_give_the_same_groups(spark):
 
 
 def test_directory_doubles_only_for_overfull_buckets():
-    keys = [5 << 50] * 10 + [(5 << 50) + 1] * 10 + [k << 54 for k in range(1024)]
-
-    def histogram(prefixes, parent, depth):
-        out = {}
-        for k in keys:
-            if prefixes is None or k >> (64 - parent) in prefixes:
-                out[k >> (64 - depth)] = out.get(k >> (64 - depth), 0) + 100
-        return out
-
-    buckets = exact_dedup.build_directory(histogram, 1500)
-    assert sum(n for _, _, n in buckets) == 100 * len(keys)
-    assert all(n <= 1500 or d >= exact_dedup.MAX_BITS for _, d, n in buckets)
+    sizes = np.full(1024, 100)
+    sizes[[5, 6, 700]] = [2000, 900, 5000]
+    made = exact_dedup.Directory(sizes, 1500)
+    buckets = made.in_order()
+    assert len(made.slots) == 1 << made.depth and len(buckets) == len(made.buckets)
+    assert sum(n for _, _, n in buckets) == sizes.sum() and all(n <= 1500 or d == 10 for _, d, n in buckets)
     ends = [(p << (64 - d), (p + 1) << (64 - d)) for p, d, _ in buckets]
     assert ends[0][0] == 0 and ends[-1][1] == 1 << 64 and all(a[1] == b[0] for a, b in zip(ends, ends[1:], strict=False))
+    for slot, b in enumerate(made.slots.tolist()):
+        p, d, _ = made.buckets[b]
+        assert slot >> (made.depth - d) == p
+    # buckets that aren't overfull stay whole
+    assert all(d == 0 or sizes[(p >> 1) << (11 - d) : ((p >> 1) + 1) << (11 - d)].sum() > 1500 for p, d, _ in buckets)
 
 
-def test_equal_hashes_are_compared_by_bytes():
+def test_directory_of_a_hundred_terabytes():
+    r = np.random.default_rng(0)
+    began = time.perf_counter()
+    made = exact_dedup.Directory(r.poisson(2400, 1 << 22) * 10_000, 128 << 20)
+    starts = exact_dedup.owners(made.in_order(), 128 << 20, 10_000)
+    assert time.perf_counter() - began < 30 and len(starts) > 500_000 and all(n <= 128 << 20 for _, _, n in made.buckets)
+
+
+def test_rows_of_one_id_are_kept_by_their_text(spark):
+    rows = docs(spark, [(1, "a"), (2, "a"), (1, "b"), (3, "c"), (3, "c"), (1, None), (1, "")])
+    assert sorted((r.doc_id, r.text or "") for r in exact_dedup.drop_exact_copies(rows).collect()) == [(1, ""), (1, "b"), (2, "a"), (3, "c")]
+    got = [(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(rows).collect()]
+    assert sorted(got) == [(1, 1, 1, True), (1, 1, 2, False), (1, 1, 2, True), (1, 2, 2, False), (2, 2, 2, True), (3, 3, 2, False), (3, 3, 2, True)]
+    prints = simhash.keep_one_of_each(docs(spark, [(1, prose(1, 60)), (1, prose(2, 60)), (2, prose(1, 60)), (1, prose(1, 60))]))
+    assert sorted((r.doc_id, r.text) for r in prints.collect()) == sorted([(1, prose(1, 60)), (1, prose(2, 60))])
+
+
+def sent_and_compared(batches, starts=(0,)):
     import pyarrow as pa
 
-    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([9, 9, 9]), pa.array(["a", "b", "a"]), pa.array(["x", "y", "x"])], names=["doc_id", "key", "sha", "text"])
-    sent = list(exact_dedup._local_chains([0])(iter([batch])))
-    assert [m for b in sent for m in b.column("members").to_pylist()] == [[1, 3], [2]]
-    rows = [r for b in exact_dedup._compare(iter(sent)) for r in b.to_pylist()]
-    assert {(r["class_no"], r["keep_id"], r["group_size"]) for r in rows if r["members"] is None} == {(0, 3, 2), (1, 2, 1)}
+    tables = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["doc_id", "key", "sha", "text"]) for rows in batches]
+    sent = list(exact_dedup._local_chains(list(starts))(iter(tables)))
+    return [r for b in sent for r in b.to_pylist()], [r for b in exact_dedup._compare(iter(sent)) for r in b.to_pylist()]
+
+
+def test_equal_hashes_are_compared_by_bytes():
+    sent, rows = sent_and_compared([[(1, 9, "a", "x"), (2, 9, "a", "y"), (3, 9, "a", "x")]])
+    assert [r["members"] for r in sent] == [[1, 3], [2]]
+    assert {(r["no"], r["keep_id"], r["group_size"]) for r in rows if r["group_size"]} == {(0, 3, 2), (1, 2, 1)}
+
+
+def test_a_hot_text_is_sent_once_a_task():
+    sent, rows = sent_and_compared([[(i + 10 * k, 9, "a", "hot") for i in range(10)] for k in range(50)])
+    assert sum(r["body"] is not None for r in sent) == 1 and len(sent) == 50
+    totals = [r for r in rows if r["group_size"]]
+    assert [(r["keep_id"], r["group_size"], r["members"]) for r in totals] == [(499, 500, [499])]
+    assert sorted(i for r in rows if not r["group_size"] for i in r["members"]) == list(range(499))
 
 
 def test_reparameterised_questions(spark):
