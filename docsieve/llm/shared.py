@@ -108,6 +108,13 @@ def rows_kept(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col
     return found.withColumn(key, text_key(F.col(text_col))).dropDuplicates([id_col, key]).drop(key)
 
 
+def hash_share(hashed, wanted: int, total: int) -> F.Column:
+    """Whether a 64-bit hash is among the smallest, so that about ``wanted`` of ``total`` rows are; all, if there are fewer."""
+    bits = 62
+    limit = 1 << bits if wanted >= total else (wanted << bits) // total
+    return F.shiftrightunsigned(hashed, 64 - bits) < F.lit(limit)
+
+
 def utf8(column, empty: bytes = b"") -> list[bytes]:
     """The values of an Arrow string column as UTF-8 bytes, nulls as ``empty``."""
     import pyarrow as pa

@@ -278,15 +278,6 @@ def test_language_of_letterless_text(spark):
     assert got[100].lang_pred == got[101].lang_pred == "und" and got[0].lang_pred == "en" and got[0].score == 1.0
 
 
-def test_probabilities_of_a_context_add_up():
-    to = lang_ppm.symbols(np.array([10, 97, 98, 99]))
-    text = to[np.frombuffer(b"\n\n\nabcabcaab", np.uint8)]
-    codes, n = np.unique(lang_ppm._codes(text, 4), return_counts=True)
-    model = lang_ppm.Model(["x"], to, [(codes, n)])
-    sums = np.exp2(-model.bits.astype(np.float64)).reshape(-1, lang_ppm.SYMBOLS).sum(1)
-    assert (sums <= 1 + 1e-5).all() and model.lengths(b"abcabc")[0] < model.lengths(b"cbacba")[0]
-
-
 def test_licence_templates(spark):
     text = "Released under the MIT License. Code here; all   rights\nReserved -- Licensed under CC BY-NC 4.0. all rights reserved"
     r = license_scan.scan(docs(spark, [(1, text), (2, "mit and license apart"), (3, "acc bye")])).orderBy("doc_id").collect()
