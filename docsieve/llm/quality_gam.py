@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import utf8
+from .shared import free_name, hash_share, utf8
 
 FEATURES = ["log_words", "word_bytes", "repeated_next", "distinct_words", "upper", "exclamations", "symbols", "bars", "digits", "line_ends", "stops", "non_ascii"]
 
@@ -148,8 +148,7 @@ def held_out(id_col: str) -> F.Column:
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_fit_rows: int = 20_000) -> Gam:
     """Fits on labelled rows that are not held out, at most about ``max_fit_rows`` of them."""
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("double").alias("__label"))
-    share = min(1.0, max_fit_rows / max(1, usable.count()))
-    chosen = F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < int(share * (1 << 20))
+    chosen = hash_share(F.xxhash64("__id"), max_fit_rows, usable.count())
     some = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text")).where(F.col("__id").isNotNull() & ~held_out("__id") & chosen)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,8 +166,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Gam, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``docs`` with the score of each whole text."""
-    schema = T.StructType([x for x in docs.schema.fields if x.name != score_col] + [T.StructField(score_col, T.DoubleType())])
+    """``docs`` with the score of each whole text in a new column; a column of that name is an error."""
+    if score_col.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"there is a column {score_col} already")
+    schema = T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())])
     names = [x.name for x in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,4 +191,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
 
 def drop_poor(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The documents that the classifier accepts, with their columns."""
-    return score(docs, learn(docs, labels), score_col="__score").where(F.col("__score") >= threshold).select(*docs.columns)
+    name = free_name(docs, "score")
+    return score(docs, learn(docs, labels), score_col=name).where(F.col(name) >= threshold).drop(name)
