@@ -15,7 +15,8 @@ Characters without a piece become byte pieces (or the unknown id where the model
 library would turn into a space on decoding, is encoded as its bytes, so that decoding returns each text unchanged.
 
 Defined results: null text stays null (null ids) in the operator; the empty text gives no ids; repeated rows are rows of
-their own; further columns are passed through by ``encode`` and ``decode``.
+their own; further columns are passed through by ``encode`` and ``decode``, which refuse to
+overwrite one.
 """
 
 from __future__ import annotations
@@ -34,9 +35,9 @@ from pyspark.sql import types as T
 from .shared import worker_cache
 
 SPACE = "▁"
-#: Words that each of two generations of a worker's memory holds, pairs of pieces in it, and characters of text that are
-#: solved together. They bound memory and change no result.
-REMEMBERED, PAIRS, BLOCK_CHARS = 120_000, 300_000, 1_000_000
+#: Words that each of two generations of a worker's memory holds and their characters, pairs of pieces in it, and characters of
+#: text that are solved together. They bound memory and change no result.
+REMEMBERED, REMEMBERED_CHARS, PAIRS, BLOCK_CHARS = 120_000, 4_000_000, 300_000, 1_000_000
 
 
 class PieceModel:
@@ -121,6 +122,7 @@ class Encoder:
         self.text = {i: p for p, i in model.ids.items()}
         self.pairs: dict[int, dict[int, bool]] = {}
         self.n_pairs = 0
+        self.known_chars = 0
 
     def _own(self, i: int) -> bool:
         """Whether a piece is its own BPE result."""
@@ -231,14 +233,15 @@ class Encoder:
                 size += len(text)
                 block.append(words)
                 fresh.update(words)
-            if len(self.known) > REMEMBERED:
-                self.older, self.known = self.known, {SPACE: literal}
+            if len(self.known) > REMEMBERED or self.known_chars > REMEMBERED_CHARS:
+                self.older, self.known, self.known_chars = self.known, {SPACE: literal}, 0
             known, older = self.known, self.older
             fresh.difference_update(known)
             again = fresh & older.keys()
             known.update((w, older[w]) for w in again)
             fresh -= again
             fresh.discard(SPACE)
+            self.known_chars += sum(map(len, fresh)) + sum(map(len, again))
             self.solve(sorted(w.replace(" ", SPACE) for w in fresh))
             get = known.__getitem__
             for words in block:
@@ -261,12 +264,18 @@ def _lists(arrays: list[np.ndarray | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()), mask=mask)
 
 
+def _new(docs: DataFrame, name: str) -> None:
+    if name.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"there is a column {name} already")
+
+
 def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with the piece ids of ``text_col``; the driver reads the model file and sends it with the job."""
     with open(model_path, "rb") as f:
         model = f.read()
     PieceModel(model)
-    schema = T.StructType([x for x in docs.schema.fields if x.name != ids_col] + [T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
+    _new(docs, ids_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
     names = [x.name for x in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +300,8 @@ def decode(docs: DataFrame, model_path: str, ids_col: str = "ids", text_col: str
     with open(model_path, "rb") as f:
         model = PieceModel(f.read())
     surface, prefix = model.surface, model.dummy_prefix
-    schema = T.StructType([x for x in docs.schema.fields if x.name != text_col] + [T.StructField(text_col, T.StringType())])
+    _new(docs, text_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField(text_col, T.StringType())])
     names = [x.name for x in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
