@@ -1,17 +1,20 @@
 """Chat formatting of reply trees, with DataFrame functions only.
 
-Turns are nodes with a parent. Pointer doubling, a self-join a round, sums the scores of every path to the root; the
-leaves of a conversation are ranked by the mean score of their path, and the chosen leaves' paths are enumerated by the
-same doubling: a round joins what a path holds so far with the ancestors 1, 2, 4, ... steps further up. So the number of
-joins grows with the logarithm of the longest path.
+Turns are nodes with a parent. Neighbouring nodes that are only replies make one segment, so a chain of any length is a
+tree of one node. Pointer doubling, a self-join a round, sums the scores of every path to the root; the leaves of a
+conversation are ranked by the mean score of their path's turns, and the chosen leaves' paths are enumerated by the same
+doubling: a round joins what a path holds so far with the ancestors 1, 2, 4, ... steps further up. So the number of joins grows
+with the logarithm of the segments of the longest path. The structure is found without texts, which are shuffled once.
 
 The template writes a turn as ``<|turn|>role<|text|>text<|end|>``. In roles and texts a backslash is doubled, and one is
 put behind each ``<`` and ``[``, which breaks every control string that begins with one (``</s>``, ``[INST]``, ``<|...``);
 reading back removes exactly those. The loss mask lists the places of the texts of the trained role.
 
-Defined results: null roles and texts count as empty; turns that tie on their number are ordered by role and text; a
-parent that doesn't exist makes a root; turns on a cycle belong to no conversation; branches that tie are ordered by
-length, the longest first, then by the smaller leaf; a null score counts 0; further columns are not read.
+Defined results: null roles and texts count as empty; rows without a conv_id are one conversation; turns that tie on their
+number are ordered by role and MD5 of the text; a parent that doesn't exist makes a root; turns on a cycle belong to no
+conversation; branches that tie are ordered by length, the longest first, then by the smaller leaf; a null score counts 0; a
+node number stands for one row of its conversation; further columns are not read. A formatted conversation is one row, so
+the longest must fit one task.
 """
 
 from __future__ import annotations
@@ -33,60 +36,85 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"([<\[])\\|\\(\\)", "$1$2")
 
 
+#: A conversation's key without nulls: joins and windows on it share one shuffle.
+KEY = ("conv", "nameless")
+
+
+def _keyed(df: DataFrame) -> DataFrame:
+    return df.select(F.coalesce(F.col("conv_id").cast("long"), F.lit(0)).alias("conv"), F.col("conv_id").isNull().alias("nameless"), *(c for c in df.columns if c != "conv_id"))
+
+
 def chains(turns: DataFrame) -> DataFrame:
     """Nodes of conversations without replies' parents: each turn answers the one before it."""
-    order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    numbered = rows.withColumn("node", F.row_number().over(order).cast("long"))
+    text = F.coalesce("text", F.lit(""))
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.md5(text).alias("digest"), text.alias("text"))
+    numbered = rows.withColumn("node", F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "digest")).cast("long"))
     return numbered.select("conv_id", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
+def segments(nodes: DataFrame) -> DataFrame:
+    """(conv, nameless, node, parent, first, steps, total): runs of neighbouring nodes, each the only reply to the one before,
+    named by their last node; ``first`` is the place of the first among the conversation's nodes, from 1."""
+    rows = _keyed(nodes.select("conv_id", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")))
+    siblings = F.count(F.lit(1)).over(W.partitionBy(*KEY, "parent"))
+    order = W.partitionBy(*KEY).orderBy("node")
+    begins = F.col("parent").isNull() | (F.col("siblings") > 1) | ~F.col("parent").eqNullSafe(F.lag("node").over(order))
+    placed = rows.withColumn("siblings", siblings).withColumn("begins", begins).withColumn("at", F.row_number().over(order)).withColumn("segment", F.sum(F.col("begins").cast("int")).over(order))
+    return placed.groupBy(*KEY, "segment").agg(F.max("node").alias("node"), F.min_by("parent", "at").alias("parent"), F.min("at").alias("first"), F.count(F.lit(1)).alias("steps"), F.sum("score").alias("total")).drop("segment")
+
+
 def paths(nodes: DataFrame, space: Workspace, branches: int = 1) -> DataFrame:
-    """(conv_id, leaf, branch, node, up): the nodes of each conversation's ``branches`` best root-to-leaf paths; ``up`` is
-    the distance from the leaf, ``branch`` the rank from 1."""
-    key = ["conv_id", "node"]
-    ids = nodes.select(*key)
-    parents = ids.select("conv_id", F.col("node").alias("parent"), F.lit(True).alias("known"))
-    linked = nodes.select(*key, "parent", F.coalesce("score", F.lit(0.0)).alias("total")).join(parents, ["conv_id", "parent"], "left")
-    jump = space.keep(linked.select(*key, F.when(F.col("known"), F.col("parent")).alias("above"), "total", F.lit(1).cast("long").alias("steps")), "jump0")
+    """(conv, nameless, branch, ranges): each conversation's ``branches`` best root-to-leaf paths, from the root, as ranges
+    of places (first, last) among its nodes and the number of nodes before them (before)."""
+    key = [*KEY, "node"]
+    runs = space.keep(segments(nodes), "segments")
+    parents = runs.select(*KEY, F.col("node").alias("parent"), F.lit(True).alias("known"))
+    linked = runs.join(parents, [*KEY, "parent"], "left")
+    jump = space.keep(linked.select(*key, F.when(F.col("known"), F.col("parent")).alias("above"), "total", "steps"), "jump0")
     open_, done, jumps = jump.where(F.col("above").isNotNull()), jump.where(F.col("above").isNull()), []
-    most = nodes.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
-    answered = open_.select("conv_id", F.col("above").alias("node")).distinct()
+    most = runs.groupBy(*KEY).count().agg(F.max("count")).first()[0] or 0
+    answered = open_.select(*KEY, F.col("above").alias("node")).distinct()
     # only paths that haven't reached their root are joined on
     while 1 << len(jumps) <= most and not open_.isEmpty():
         jumps.append(open_.select(*key, "above"))
-        far = open_.union(done).select("conv_id", F.col("node").alias("above"), F.col("above").alias("above2"), F.col("total").alias("total2"), F.col("steps").alias("steps2"))
-        on = open_.join(far, ["conv_id", "above"])
+        far = open_.union(done).select(*KEY, F.col("node").alias("above"), F.col("above").alias("above2"), F.col("total").alias("total2"), F.col("steps").alias("steps2"))
+        on = open_.join(far, [*KEY, "above"])
         jump = space.keep(on.select(*key, F.col("above2").alias("above"), (F.col("total") + F.col("total2")).alias("total"), (F.col("steps") + F.col("steps2")).alias("steps")), f"jump{len(jumps)}")
         open_, done = jump.where(F.col("above").isNotNull()), done.union(jump.where(F.col("above").isNull()))
     leaves = done.join(answered, key, "left_anti")
     rank = F.struct((-F.col("total") / F.col("steps")).alias("a"), (-F.col("steps")).alias("b"), F.col("node").alias("c"))
     if branches == 1:
-        chosen = leaves.groupBy("conv_id").agg(F.min(rank).alias("r")).select("conv_id", F.col("r.c").alias("leaf"), F.lit(1).alias("branch"))
+        chosen = leaves.groupBy(*KEY).agg(F.min(rank).alias("r")).select(*KEY, F.col("r.c").alias("leaf"), F.lit(1).alias("branch"))
     else:
-        chosen = leaves.withColumn("branch", F.row_number().over(W.partitionBy("conv_id").orderBy(rank))).where(F.col("branch") <= branches).select("conv_id", F.col("node").alias("leaf"), "branch")
-    held = space.keep(chosen.select("conv_id", "leaf", "branch", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up")), "path0")
+        chosen = leaves.withColumn("branch", F.row_number().over(W.partitionBy(*KEY).orderBy(rank))).where(F.col("branch") <= branches).select(*KEY, F.col("node").alias("leaf"), "branch")
+    held = chosen.select(*KEY, "branch", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up"))
     for k, step in enumerate(jumps):
-        further = held.join(step, key)
-        held = space.keep(held.union(further.select("conv_id", "leaf", "branch", F.col("above").alias("node"), (F.col("up") + (1 << k)).alias("up"))), f"path{k + 1}")
-    return held
+        held = space.keep(held, f"path{k}")
+        held = held.union(held.join(step, key).select(*KEY, "branch", F.col("above").alias("node"), (F.col("up") + (1 << k)).alias("up")))
+    above = W.partitionBy(*KEY, "branch").orderBy(F.desc("up")).rowsBetween(W.unboundedPreceding, -1)
+    parts = held.join(runs, key).withColumn("before", F.coalesce(F.sum("steps").over(above), F.lit(0)))
+    one = F.struct("before", "first", (F.col("first") + F.col("steps") - 1).alias("last"))
+    return space.keep(parts.groupBy(*KEY, "branch").agg(F.array_sort(F.collect_list(one)).alias("ranges")), "chosen")
 
 
 def format_trees(nodes: DataFrame, branches: int = 1, trained: str = "assistant") -> DataFrame:
     """(conv_id, branch, formatted, loss): the text of each chosen path and the places (start and end, in code points)
     under the loss mask."""
     space = Workspace(nodes.sparkSession, "chat")
-    nodes = space.keep(nodes, "nodes")
-    turn = paths(nodes, space, branches).join(nodes.select("conv_id", "node", "role", "text"), ["conv_id", "node"])
-    role, text = escape(F.coalesce("role", F.lit(""))), escape(F.coalesce("text", F.lit("")))
+    chosen = paths(nodes, space, branches)
+    texts = _keyed(nodes.select("conv_id", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))
+    placed = texts.withColumn("at", F.row_number().over(W.partitionBy(*KEY).orderBy("node")))
+    inside = F.get(F.filter("ranges", lambda r: F.col("at").between(r["first"], r["last"])), F.lit(0))
+    # the join keeps the partitions of the window, so that texts are shuffled once
+    turn = placed.join(chosen.hint("merge"), list(KEY)).withColumn("range", inside).where(F.col("range").isNotNull())
+    role, text = escape(F.col("role")), escape(F.col("text"))
     head = F.concat(F.lit(TURN), role, F.lit(TEXT))
-    parts = turn.select("conv_id", "branch", F.col("up"), "role", F.char_length(head).alias("head"), F.char_length(text).alias("body"), F.concat(head, text, F.lit(END)).alias("piece"))
-    before = W.partitionBy("conv_id", "branch").orderBy(F.desc("up")).rowsBetween(W.unboundedPreceding, -1)
+    parts = turn.select(*KEY, "branch", (F.col("range.before") + F.col("at") - F.col("range.first")).alias("nth"), "role", F.char_length(head).alias("head"), F.char_length(text).alias("body"), F.concat(head, text, F.lit(END)).alias("piece"))
+    before = W.partitionBy(*KEY, "branch").orderBy("nth").rowsBetween(W.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.char_length("piece")).over(before), F.lit(0)) + F.col("head")
-    placed = parts.select("conv_id", "branch", "up", "piece", F.when(F.col("role") == trained, F.struct(start.cast("long").alias("start"), (start + F.col("body")).cast("long").alias("end"))).alias("span"))
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("at"), "piece", "span")))
-    whole = placed.groupBy("conv_id", "branch").agg(ordered.alias("turns"))
-    return whole.select("conv_id", "branch", F.array_join("turns.piece", "").alias("formatted"), F.filter("turns.span", lambda s: s.isNotNull()).alias("loss"))
+    spans = parts.select(*KEY, "branch", "nth", "piece", F.when(F.col("role") == trained, F.struct(start.cast("long").alias("start"), (start + F.col("body")).cast("long").alias("end"))).alias("span"))
+    whole = spans.groupBy(*KEY, "branch").agg(F.array_sort(F.collect_list(F.struct("nth", "piece", "span"))).alias("turns"))
+    return whole.select(F.when(~F.col("nameless"), F.col("conv")).alias("conv_id"), "branch", F.array_join("turns.piece", "").alias("formatted"), F.filter("turns.span", lambda s: s.isNotNull()).alias("loss"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

@@ -199,6 +199,44 @@ def test_long_conversation_by_doubling(spark):
     assert rows[2].n_turns == 2 and rows[2].loss_chars == 0
 
 
+def test_trees_equal_a_plain_walk(spark):
+    r, rows = random.Random(4), []
+    for conv in [*range(25), None]:
+        ids = r.sample(range(100), r.randrange(1, 30))
+        if r.random() < 0.6:
+            ids.sort()
+        for k, node in enumerate(ids):
+            parent = None if not k or r.random() < 0.05 else ids[k - 1] if r.random() < 0.7 else r.choice(ids[:k])
+            rows.append((conv, node, parent, r.choice(["user", "assistant", None]), r.choice([None, "", "a <b", "x" * r.randrange(9)]), r.choice([None, 1.0, -1.0, 0.5]), "other"))
+    nodes = spark.createDataFrame(rows, "conv_id long, node long, parent long, role string, text string, score double, formatted string")
+
+    def best(conv, branches):
+        own = {n: (p, role or "", text or "", score or 0.0) for c, n, p, role, text, score, _ in rows if c == conv}
+        found = []
+        for leaf in set(own) - {p for p, *_ in own.values()}:
+            path = [leaf]
+            while own[path[-1]][0] is not None:
+                path.append(own[path[-1]][0])
+            found.append((-sum(own[n][3] for n in path) / len(path), -len(path), leaf, [own[n][1:3] for n in path[::-1]]))
+        return [f[3] for f in sorted(found)[:branches]]
+
+    for branches in (1, 3):
+        got = {}
+        for x in chat_format.read_back(chat_format.format_trees(nodes, branches)).collect():
+            got.setdefault(x.conv_id, {})[x.branch] = [(t.role, t.text) for t in x.turns]
+            assert x.trained == [t.text for t in x.turns if t.role == "assistant"]
+        assert set(got) == {*range(25), None}
+        for conv, have in got.items():
+            assert [have[k] for k in sorted(have)] == best(conv, branches)
+
+
+def test_nameless_and_long_conversations(spark):
+    turns = [(None, 1, "user", "q", 1), (None, 2, "assistant", "a" * 300_000, 1), (7, None, None, None, 1), (7, 1, "assistant", "x", 1), (7, 1, "assistant", "x", 1)]
+    got = {r.conv_id: r for r in chat_format.digests(chat_format.chains(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, node int"))).collect()}
+    assert got[None].n_turns == 2 and got[None].loss_chars == 300_000 and got[7].n_turns == 3 and got[7].loss_chars == 2
+    assert chat_format.digests(chat_format.chains(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
 def test_fuzzy_and_shared_passages(spark):
     passage = prose(5, 80).split()
     edited = passage[:30] + ["other"] + passage[31:55] + passage[56:]
