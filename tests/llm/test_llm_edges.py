@@ -247,6 +247,19 @@ def test_fuzzy_and_shared_passages(spark):
     assert len(found) <= 39 * 4  # two links a copy and the stretches they point to, not 39 * 38 pairs
 
 
+def test_recall_of_edited_passages(spark):
+    r, rows, words = random.Random(0), [], [f"w{i}" for i in range(2000)]
+    some = lambda n: r.choices(words, [1 / (i + 1) for i in range(2000)], k=n)
+    for i in range(0, 240, 2):
+        passage, edited = some(60), []
+        for j, w in enumerate(passage):  # every tenth word replaced, dropped or followed by another
+            kind = r.choice("rdf") if (j + i) % 10 == 9 else "w"
+            edited += {"r": ["other"], "d": [], "f": [w, "other"], "w": [w]}[kind]
+        rows += [(i, " ".join(some(60) + passage + some(60))), (i + 1, " ".join(some(60) + edited + some(60)))]
+    found = {(x.doc_id, x.rep_doc_id) for x in substring_dedup.repeated_passages(docs(spark, rows)).collect() if x.role == "copy"}
+    assert found <= {(i + 1, i) for i in range(0, 240, 2)} and len(found) >= 0.9 * 120
+
+
 def test_passages_of_frequent_lines(spark):
     one, two = prose(31, 30), prose(32, 30)
     rows = [(k, " ".join([prose(300 + k, 40), (one, two)[k % 2], prose(400 + k, 40)])) for k in range(1, 60)]
@@ -318,9 +331,10 @@ def test_language_of_letterless_text(spark):
 
 def test_licence_templates(spark):
     text = "Released under the MIT License. Code here; all   rights\nReserved -- Licensed under CC BY-NC 4.0. all rights reserved"
-    r = license_scan.scan(docs(spark, [(1, text), (2, "mit and license apart"), (3, "acc bye")])).orderBy("doc_id").collect()
+    r = license_scan.scan(docs(spark, [(1, text), (2, "mit and license apart"), (3, "acc bye"), (4, "GNU General Public License version 3"), (5, "the mit license")])).orderBy("doc_id").collect()
     assert r[0].base_labels == "cc-by,reserved" and r[0].labels == "cc-by,cc-by-nc-4.0,mit,reserved" and r[0].n_base == 3
     assert r[1].labels == "" and r[1].score == 0 and r[2].n_base == 0
+    assert r[3].labels == "gpl,gpl-3.0" and r[4].labels == ""
 
 
 def test_gam_learns_an_interaction():

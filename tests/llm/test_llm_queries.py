@@ -132,3 +132,34 @@ def test_pipeline_equals_its_parts(spark, sf):
     assert {r.doc_id for r in final.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
     texts = [r.text for r in docs.collect()]
     assert len(set(texts)) == len(texts)
+
+
+def test_pipeline_on_odd_rows(spark, sf, tmp_path):
+    """Nulls, repeated rows and ids, clashing columns, a very long text, against the stages' own statements."""
+    import corpus_pipeline as p
+
+    good = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en'").orderBy("doc_id").limit(60).collect()]
+    leak = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(i, t) for i, t in enumerate(good)] + [(0, good[0]), (0, good[5]), (None, good[7]), (None, None), (70, None), (71, ""), (72, good[9] + " " + leak), (73, " ".join(good) * 20)]
+    columns = "doc_id long, text string, score double, ids string, text_key string, id long"
+    spark.createDataFrame([(i, t, 9.0, "x", "y", 3) for i, t in rows], columns).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    labels = docs.selectExpr("doc_id", "cast(length(text) > 40 as int) AS quality").where("doc_id < 60")
+    labels.write.mode("overwrite").parquet(f"{tmp_path}/labels.parquet")
+    texts = []
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.where("score != 9 OR ids != 'x' OR id != 3").isEmpty(), name
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+        texts.append([(r.doc_id, r.text) for r in docs.collect()])
+    bodies = [t or "" for _, t in texts[1]]
+    assert len(set(bodies)) == len(bodies) and set(bodies) == {t or "" for _, t in texts[0]}
+    assert not any(leak in (t or "") for _, t in texts[3])
+    got = p.run(spark, str(tmp_path))
+    assert sorted((r.doc_id or -1) for r in got.collect()) == sorted((i or -1) for i, _ in texts[3])
+    spark.createDataFrame([], columns).write.parquet(f"{tmp_path}/none/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert p.run(spark, f"{tmp_path}/none").count() == 0
