@@ -4,8 +4,8 @@ The index lists, for every template, where its words stand. A file is looked up
 inverse document frequency over the whole corpus: each mandatory key phrase of a template is indexed under its rarest
 word, so a file without that word can't hold the phrase and is never compared. Every place of such a word fixes the
 template's position in the file; the places that the template's other words should have are intersected with the file's
-words, and a template is accepted where the share found reaches ``least`` and every key phrase stands word by word within
-the window. Base phrases are templates that must stand whole.
+words, and a template is accepted where the share found reaches ``least`` (and FEWEST words, so that short templates need
+more of theirs) and every key phrase stands word by word within the window. Base phrases are templates that must stand whole.
 
 Defined results: null text counts as empty; a file without words or licences has n_base 0, null places, empty labels and
 score 0; overlapping places count each; repeated rows are rows of their own; further columns are not read.
@@ -29,6 +29,8 @@ WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 #: Words that an insertion or a deletion may shift a key phrase by.
 SLACK = 6
+#: Words of a template that must stand where they should, or all of a shorter one.
+FEWEST = 4
 
 
 @dataclass(frozen=True)
@@ -46,6 +48,10 @@ TEMPLATES = (
     Template("gpl-2.0", "this work is licensed under the gnu general public license version 2", ("gnu general public license", "version 2")),
     Template("gpl-3.0", "this work is licensed under the gnu general public license version 3", ("gnu general public license", "version 3")),
     Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ("free software you can redistribute it", "gnu general public license as published by")),
+    Template("gpl-2.0", "gnu general public license version 2", ("gnu general public license version 2",)),
+    Template("gpl-2.0", "gnu general public license v2", ("gnu general public license v2",)),
+    Template("gpl-3.0", "gnu general public license version 3", ("gnu general public license version 3",)),
+    Template("gpl-3.0", "gnu general public license v3", ("gnu general public license v3",)),
     Template("lgpl", "under the terms of the gnu lesser general public license", ("gnu lesser general public license",)),
     Template("agpl", "under the terms of the gnu affero general public license", ("gnu affero general public license",)),
     Template("bsd-2-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms", "the following conditions are met")),
@@ -114,8 +120,9 @@ class Index:
                     continue
                 for i in where[word]:
                     at = i - j
-                    share = sum(0 <= at + n < len(words) and words[at + n] == w for n, w in enumerate(own)) / len(own)
-                    if share >= self.least and all(_places(words, key, at - SLACK, at + len(own) + SLACK) for key in keys):
+                    found = sum(0 <= at + n < len(words) and words[at + n] == w for n, w in enumerate(own))
+                    share = found / len(own)
+                    if share >= self.least and found >= min(FEWEST, len(own)) and all(_places(words, key, at - SLACK, at + len(own) + SLACK) for key in keys):
                         labels.add(label)
                         best = max(best, share)
         return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), best
