@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,25 +30,50 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * (len(a) - v.bit_count()) / (len(a) + len(b))
 
 
+def _match_masks(codes: np.ndarray, word: str) -> np.ndarray:
+    """For each character of a text, the places of ``word`` that hold it, as bits."""
+    masks = np.zeros(len(codes), np.uint64)
+    for c in set(word):
+        masks[codes == ord(c)] = sum(1 << i for i, x in enumerate(word) if x == c)
+    return masks
+
+
+def _likeness(windows: np.ndarray, word: str) -> np.ndarray:
+    """The indel ratios of equally long stretches (rows of masks) to ``word``, all in one pass over their columns."""
+    full = np.uint64((1 << len(word)) - 1)
+    state = np.full(len(windows), full)
+    for column in windows.T:
+        hit = state & column
+        state = ((state + hit) | (state - hit)) & full
+    return 200.0 * (len(word) - np.bitwise_count(state).astype(int)) / (windows.shape[1] + len(word))
+
+
 def fuzzy_keyword(text: str | None, threshold: float = 80.0) -> tuple[str, float] | None:
-    """The first keyword that the text is like, or that a stretch of it is like."""
-    t = (text or "").lower().strip()
-    for k in C.REGION_KEYWORDS:
-        ratio = indel_ratio(t, k)
-        if ratio >= threshold:
-            return "fuzzy_keyword", ratio
-        if len(t) > len(k):
-            for i in range(len(t) - len(k) + 1):
-                ratio = indel_ratio(t[i : i + len(k)], k)
-                if ratio >= threshold:
-                    return "partial_keyword", ratio
+    """The first keyword, in the catalog's order, that the whole text is like (else a stretch of the keyword's length), and
+    the likeness. Keywords that share too few letters with the text are passed over, which loses none."""
+    codes = np.frombuffer((text or "").lower().strip().encode("utf-32-le", "surrogatepass"), np.uint32)
+    have = Counter(codes.tolist())
+    for word in C.REGION_KEYWORDS:
+        m, n = len(word), len(codes)
+        letters = sum(min(have[ord(c)], k) for c, k in Counter(word).items())
+        if 200.0 * letters < threshold * 2 * min(m, n) or not n:
+            continue
+        masks = _match_masks(codes, word)
+        candidates = [("fuzzy_keyword", masks[None])] if 200.0 * letters >= threshold * (n + m) else []
+        if n > m:
+            candidates.append(("partial_keyword", sliding_window_view(masks, m)))
+        for kind, windows in candidates:
+            ratios = _likeness(windows, word)
+            if (ratios >= threshold).any():
+                return kind, float(ratios[np.argmax(ratios >= threshold)])
     return None
 
 
 @F.pandas_udf(T.StructType().add("type", T.StringType()).add("confidence", T.DoubleType()))
 def _fuzzy(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for s in texts:
-        got = [fuzzy_keyword(x) or (None, None) for x in s]
+        got = [None if x is None else fuzzy_keyword(x) for x in s]
+        got = [x or (None, None) for x in got]
         yield pd.DataFrame(got, columns=["type", "confidence"]).astype({"confidence": "float64"})
 
 
@@ -74,7 +102,7 @@ def classify(text: Column, neighbours: Column | None = None, fuzzy: bool = True)
         sure = F.coalesce(sure, F.when(near.isNotNull(), F.lit(85.0)))
         kind = F.coalesce(kind, near)
     if fuzzy:
-        like = _fuzzy(t)
+        like = _fuzzy(F.when(kind.isNull(), t))  # decided regions send nothing to Python
         sure = F.coalesce(sure, like["confidence"])
         kind = F.coalesce(kind, like["type"])
     return F.struct(kind.alias("type"), sure.alias("confidence"))

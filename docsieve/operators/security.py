@@ -94,9 +94,10 @@ def topics(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", catego
     return df.select(F.col(id_col), F.inline(topic_array(F.col(text_col), categories)))
 
 
-def topic_counts(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", categories: Sequence[C.Category] = C.CATEGORIES) -> DataFrame:
-    """(id, category, n_patterns, n_keywords, finding_count, confidence) where no finding has to be located."""
+def count_array(text: Column, categories: Sequence[C.Category] = C.CATEGORIES) -> Column:
+    """An array with a struct for each topic: category, n_patterns, n_keywords, finding_count, confidence; no finding is located."""
     search = F.array(*map(F.lit, search_words(categories)))
+    zero = F.lit(0).cast("long")
 
     def patterns(t: Column, held: Column, c: C.Category) -> Column:
         def scan(regex: str) -> Column:
@@ -106,21 +107,57 @@ def topic_counts(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         return sum(map(scan, c.patterns), F.lit(0)).cast("long")
 
     def keywords(low: Column, held: Column, c: C.Category) -> Column:
-        words = F.filter(F.array(*map(F.lit, c.keywords)), lambda k: F.array_contains(held, k))
-        return F.aggregate(low, F.lit(0), lambda n, s: n + F.size(F.filter(words, lambda k: F.contains(s, k)))).cast("long")
+        # each keyword is looked for in sentences only if the text holds it
+        count = lambda ws: F.aggregate(low, zero, lambda n, s: n + F.size(F.filter(ws, lambda k: F.contains(s, k))))
+        return let(F.array_intersect(F.array(*map(F.lit, c.keywords)), held), lambda ws: F.when(F.size(ws) == 0, zero).otherwise(count(ws)))
 
     def read(t: Column) -> Column:
         held = let(folded(t), lambda low: F.filter(search, lambda w: F.contains(low, w)))
         low = F.transform(sentences(t), lambda s: F.lower(s))
 
-        def rows(h: Column, s: Column) -> Column:
-            return F.array(*[F.struct(F.lit(c.name).alias("category"), patterns(t, h, c).alias("n_patterns"), keywords(s, h, c).alias("n_keywords")) for c in categories])
+        def rows(h: Column, s: Column, words: Column) -> Column:
+            found = F.array(*[F.struct(F.lit(c.name).alias("category"), patterns(t, h, c).alias("n_patterns"), keywords(s, h, c).alias("n_keywords")) for c in categories])
+            return F.transform(
+                found,
+                lambda r: F.struct(
+                    r["category"].alias("category"), r["n_patterns"].alias("n_patterns"), r["n_keywords"].alias("n_keywords"), (r["n_patterns"] + r["n_keywords"]).alias("finding_count"), confidence(r["n_patterns"], r["n_keywords"], words).alias("confidence")
+                ),
+            )
+
+        return let(held, lambda h: let(low, lambda s: let(word_count(t), lambda w: rows(h, s, w))))
+
+    return let(F.coalesce(text, F.lit("")), read)
+
+
+def topic_counts(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", categories: Sequence[C.Category] = C.CATEGORIES) -> DataFrame:
+    """(id, category, n_patterns, n_keywords, finding_count, confidence): a row for each document and topic."""
+    return df.select(F.col(id_col), F.inline(count_array(F.col(text_col), categories)))
 
-        return let(held, lambda h: let(low, lambda s: rows(h, s)))
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    flat = df.select(F.col(id_col), word_count(text).alias("__w"), F.inline(let(text, read)))
-    return flat.select(id_col, "category", "n_patterns", "n_keywords", (F.col("n_patterns") + F.col("n_keywords")).alias("finding_count"), confidence(F.col("n_patterns"), F.col("n_keywords"), F.col("__w")).alias("confidence"))
+def descriptions(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", categories: Sequence[C.Category] = C.CATEGORIES) -> DataFrame:
+    """(id, categories_found, total_findings, description), from counts alone."""
+
+    def of(ts: Column) -> Column:
+        found, sure = _found(ts), _sure(ts, categories)
+        total = F.aggregate(ts, F.lit(0).cast("long"), lambda a, t: a + t["finding_count"])
+        return let(F.struct(found.alias("f"), sure.alias("s")), lambda x: F.struct(x["f"].alias("categories_found"), total.alias("total_findings"), describe(x["f"], x["s"]).alias("description")))
+
+    # explode keeps the optimizer from copying the counts into every column that is taken from them
+    return df.select(F.col(id_col), F.explode(F.array(let(count_array(F.col(text_col), categories), of))).alias("a")).select(id_col, "a.*")
+
+
+def _found(ts: Column) -> Column:
+    return F.transform(F.filter(ts, lambda t: t["finding_count"] > 0), lambda t: t["category"])
+
+
+def _sure(ts: Column, categories: Sequence[C.Category]) -> Column:
+    def called(t: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for c in categories:
+            out = F.when(t["category"] == c.name, F.lit(c.description)).otherwise(out)
+        return out
+
+    return F.transform(F.filter(ts, lambda t: t["confidence"] > 0.5), called)
 
 
 def title(name: Column) -> Column:
@@ -162,14 +199,7 @@ def summary(ts: Column, categories: Sequence[C.Category] = C.CATEGORIES) -> Colu
             out = F.when(t["category"] == c.name, F.array(*map(F.lit, c.recommendations))).otherwise(out)
         return F.when(t["confidence"] > 0.5, out).otherwise(none)
 
-    def called(t: Column) -> Column:
-        out = F.lit(None).cast("string")
-        for c in categories:
-            out = F.when(t["category"] == c.name, F.lit(c.description)).otherwise(out)
-        return out
-
-    found = F.transform(F.filter(ts, lambda t: t["finding_count"] > 0), lambda t: t["category"])
-    sure = F.transform(F.filter(ts, lambda t: t["confidence"] > 0.5), called)
+    found, sure = _found(ts), _sure(ts, categories)
     general = F.when(F.size(F.filter(ts, lambda t: t["confidence"] > 0.3)) > 2, F.array(*map(F.lit, C.GENERAL_RECOMMENDATIONS))).otherwise(none)
     weighted = F.aggregate(ts, F.lit(0.0), lambda a, t: a + t["confidence"] * t["weight"])
     weights = F.aggregate(ts, F.lit(0.0), lambda a, t: a + t["weight"])

@@ -150,7 +150,7 @@ def redact_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def specialized_counts(spark: SparkSession, d: str) -> DataFrame:
-    found = [F.struct(F.lit(p.name).alias("name"), F.regexp_count("text", F.lit(X.flagged(p.regex, False))).cast("long").alias("n")) for p in C.SPECIALIZED if p.name != "port_range"]
+    found = [F.struct(F.lit(p.name).alias("name"), F.regexp_count("text", F.lit(X.flagged(p.regex, False))).cast("long").alias("n")) for p in C.SPECIALIZED]
     return notes(spark, d).unionByName(documents(spark, d), allowMissingColumns=True).select(F.inline(F.array(*found))).groupBy("name").agg(F.sum("n").cast("long").alias("matches"))
 
 
@@ -265,13 +265,13 @@ def security_recommendations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def documents_security(spark: SparkSession, d: str) -> DataFrame:
-    s = security.analyze(documents(spark, d))
+    s = security.descriptions(documents(spark, d))
     return s.select("doc_id", F.array_join("categories_found", ",").alias("categories"), "total_findings", "description")
 
 
 def best_text(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    return documents(spark, d).select("doc_id", security.best_text(F.array(F.substring(t, 1, 40), F.regexp_replace(F.substring(t, 1, 60), "[a-z]", " "), F.lit(None).cast("string"))).alias("text"))
+    return documents(spark, d).select("doc_id", security.best_text(F.array(t, F.regexp_replace(t, "[a-z]", " "), F.lit(None).cast("string"))).alias("text"))
 
 
 # ---- regions, pages, boxes, words

@@ -69,6 +69,11 @@ def literal_hits(name: str) -> str:
     return f"list_transform(list_filter(range(1, greatest(1, len(a) - {n - 2})), lambda i: {same}), lambda p: {{'text': substring(text, p, {n}), 's': CAST(p - 1 AS BIGINT)}})"
 
 
+def consuming(regex: str) -> str:
+    """What is looked ahead for is consumed; it holds no digit, so as many matches are found."""
+    return regex.replace("(?=", "(?:")
+
+
 LETTERS = "(SELECT *, string_split(lower(text), '') AS a FROM {})"
 
 
@@ -273,7 +278,7 @@ ORACLE = {
             CASE WHEN length(cleaned) > 500 THEN substring(cleaned, 1, 500) || '...' ELSE cleaned END AS cleaned_preview, risk_score > 5 AS requires_cleaning FROM h
     """,
     "redact_specialized": f"SELECT doc_id, t AS cleaned FROM ({fold(SPECIAL_HITS, 'replace', '(' + NOTES + ')', False)})",
-    "specialized_counts": "WITH o AS (SELECT text FROM documents UNION ALL SELECT text FROM (" + NOTES + ")) SELECT name, CAST(n AS BIGINT) AS matches FROM (SELECT " + ", ".join(f"sum({count('text', p.regex, False)}) AS {p.name}" for p in C.SPECIALIZED if p.name != "port_range") + " FROM o) UNPIVOT INCLUDE NULLS (n FOR name IN (" + ", ".join(p.name for p in C.SPECIALIZED if p.name != "port_range") + "))",
+    "specialized_counts": "WITH o AS (SELECT text FROM documents UNION ALL SELECT text FROM (" + NOTES + ")) SELECT name, CAST(n AS BIGINT) AS matches FROM (SELECT " + ", ".join(f"sum({count('text', consuming(p.regex), False)}) AS {p.name}" for p in C.SPECIALIZED) + " FROM o) UNPIVOT INCLUDE NULLS (n FOR name IN (" + ", ".join(p.name for p in C.SPECIALIZED) + "))",
     "structured_clean": f"WITH {SHEET} SELECT c_custkey, '[PERSON]' AS full_name, '[EMAIL]' AS email, {CLEAN_NOTE} AS note FROM s",
     "structured_statistics": f"WITH {SHEET} SELECT count(*) * 4 AS total_fields, CAST(sum(2 + CASE WHEN note LIKE 'call 5%' THEN 1 ELSE 0 END) AS BIGINT) AS fields_with_pii, CAST(sum(2 + CASE WHEN note LIKE 'call 5%' THEN 1 ELSE 0 END) AS BIGINT) AS pii_instances FROM s",
     "sheet_redacted": f"WITH {SHEET} SELECT c_custkey, CASE WHEN full_name IS NOT NULL THEN '[REDACTED NAME]' END AS full_name, CASE WHEN email IS NOT NULL THEN '[REDACTED EMAIL]' END AS email, note FROM s",
@@ -299,7 +304,7 @@ ORACLE = {
         UNION SELECT doc_id, unnest([{', '.join(map(q, C.GENERAL_RECOMMENDATIONS))}]) FROM topics GROUP BY doc_id HAVING count(*) FILTER (WHERE confidence > 0.3) > 2
     """,
     "best_text": f"""
-        WITH c AS (SELECT doc_id, unnest([{strip('substring(text, 1, 40)')}, {strip("regexp_replace(substring(text, 1, 60), '[a-z]', ' ', 'g')")}]) AS t, unnest([1, 2]) AS i FROM documents),
+        WITH c AS (SELECT doc_id, unnest([{strip('text')}, {strip("regexp_replace(text, '[a-z]', ' ', 'g')")}]) AS t, unnest([1, 2]) AS i FROM documents),
         w AS (SELECT *, list_filter(regexp_split_to_array(t, '{SPACE}+'), lambda x: x <> '') AS ws FROM c WHERE t <> ''),
         s AS (SELECT *, len(ws) + len(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}\\s]'))::DOUBLE / length(t) + len(list_filter(ws, lambda x: length(x) > 1)) AS score FROM w)
         SELECT d.doc_id, coalesce(b.t, '') AS text FROM documents d LEFT JOIN (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS r FROM s) b ON b.doc_id = d.doc_id AND b.r = 1

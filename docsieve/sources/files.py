@@ -25,7 +25,7 @@ def suffix(path: F.Column) -> F.Column:
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """Supported files under a file or folder, by path: path, file_type, length, content. The content of other files isn't read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return found.where(suffix(F.col("path")).isin(*SUPPORTED)).select("path", suffix(F.col("path")).alias("file_type"), "length", "content")
+    return found.where(suffix(F.col("path")).isin(*SUPPORTED)).select("path", suffix(F.col("path")).alias("file_type"), "length", "content").orderBy("path")
 
 
 def plain_text(data: bytes) -> str:

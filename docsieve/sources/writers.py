@@ -74,7 +74,7 @@ def write_json(results: DataFrame, path: str) -> str:
     """Files as JSON lines, and a document with metadata, summary, distinct findings and recommendations."""
     results.write.mode("overwrite").json(f"{path}/files")
     found: dict[str, list[str]] = {}
-    for kind, value in report.distinct_values(results).orderBy("kind", "value").limit(10_000).collect():
+    for kind, value in report.distinct_values(results).orderBy("kind", "value").toLocalIterator():
         found.setdefault(kind, []).append(value)
     body = {
         "metadata": {"generated_at": datetime.now(timezone.utc).isoformat(), "generator": "docsieve"},

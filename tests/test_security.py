@@ -22,6 +22,30 @@ def test_entities(spark):
     assert got["timestamps"] == ["2024-01-02T03:04:05"] and "/etc/passwd" in got["file_paths"]
 
 
+def test_fuzzy_keywords_equal_a_plain_search():
+    import random
+
+    from docsieve.functions import catalogs as C
+
+    def plain(text):
+        t = text.lower().strip()
+        for k in C.REGION_KEYWORDS:
+            parts = [("fuzzy_keyword", t)] + [("partial_keyword", t[i : i + len(k)]) for i in range(len(t) - len(k) + 1) if len(t) > len(k)]
+            like = [(kind, regions.indel_ratio(x, k)) for kind, x in parts]
+            if any(v >= 80 for _, v in like):
+                return next(x for x in like if x[1] >= 80)
+        return None
+
+    r = random.Random(0)
+    for _ in range(1500):
+        text = "".join(r.choice("rolepcyaswiamtkn é-") for _ in range(r.randrange(14)))
+        if r.random() < 0.5:
+            k = list(r.choice(C.REGION_KEYWORDS))
+            k[r.randrange(len(k))] = r.choice("xyz ")
+            text = text[: r.randrange(4)] + "".join(k) + text[:3]
+        assert regions.fuzzy_keyword(text) == plain(text), text
+
+
 def test_fuzzy_keywords():
     assert regions.indel_ratio("polcy", "policy") == 200 * 5 / 11
     assert regions.fuzzy_keyword("polcy")[0] == "fuzzy_keyword"
