@@ -71,9 +71,11 @@ class Workspace:
 HOT = 1000
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, total: int, written: bool = False) -> DataFrame:
     """``rows`` joined with the one row of ``groups`` that has their ``on``; ``size`` of these tells how many rows of the
-    ``total`` have it."""
+    ``total`` have it. Of ``written`` groups it is looked up first whether any is hot, which spares the plan two joins."""
+    if written and groups.where(F.col(size) > total / HOT).isEmpty():
+        return rows.join(groups, on)
     hot = F.broadcast(groups.where(F.col(size) > total / HOT))
     some, rest = rows.join(hot, on), rows.join(hot.select(*on), on, "left_anti").join(groups.where(F.col(size) <= total / HOT), on)
     return some.union(rest.select(*some.columns))

@@ -276,16 +276,16 @@ def _classes(docs: DataFrame, words: int, bucket: int) -> tuple[DataFrame, DataF
     total = prints.count()
     classes = space.keep(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("doc_id", "key")).alias("first"), F.min("doc_id").alias("id")), "classes")
     roots = connected(links(classes.select("fp"), space, bucket), space)
-    named = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "rows", "first", "id", F.coalesce("root", "fp").alias("root"))
-    sizes = named.groupBy("root").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("size"))
-    of = join_groups(named, sizes, ["root"], "size", total).select("fp", "rows", "first", "root", "component_id")
+    named = space.keep(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "rows", "first", "id", F.coalesce("root", "fp").alias("root")), "named")
+    sizes = space.keep(named.groupBy("root").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("size")), "sizes")
+    of = join_groups(named, sizes, ["root"], "size", total, written=True).select("fp", "rows", "first", "root", "component_id")
     return prints, space.keep(of, "components"), total
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, bucket: int = BUCKET) -> DataFrame:
     """Per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links)."""
     prints, of, total = _classes(docs, words, bucket)
-    return join_groups(prints, of, ["fp"], "rows", total).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return join_groups(prints, of, ["fp"], "rows", total, written=True).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, words: int = WORDS, bucket: int = BUCKET) -> DataFrame:
