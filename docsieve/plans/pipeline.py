@@ -40,9 +40,11 @@ def process(texts: DataFrame, workflow: str = "both", mode: str = "replace", cli
     return rows.drop("__text")
 
 
-def run(spark: SparkSession, path: str, workflow: str = "both", mode: str = "replace", client_names: Sequence[str] = (), output: str | None = None) -> DataFrame:
-    """Reads all supported files under ``path``, processes them and, with ``output``, writes the reports."""
-    results = process(files.read_texts(spark, path), workflow, mode, client_names)
+def run(spark: SparkSession, path: str, workflow: str = "both", mode: str = "replace", client_names: Sequence[str] = (), output: str | None = None, members: bool = False) -> DataFrame:
+    """Reads all supported files under ``path``, processes them and, with ``output``, writes the reports. With ``members``
+    the archives there are batches: each of their members is a file of its own, and other files aren't read."""
+    texts = files.archive_texts(spark, path) if members else files.read_texts(spark, path)
+    results = process(texts, workflow, mode, client_names)
     if output:
         writers.write_all(results, output)
     return results
@@ -61,10 +63,11 @@ def main(argv: Sequence[str] | None = None) -> None:
     parser.add_argument("--mode", choices=pii.MODES, default="replace")
     parser.add_argument("--client-names")
     parser.add_argument("--output")
+    parser.add_argument("--members", action="store_true", help="process the members of archives as files of their own")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("docsieve").getOrCreate()
     names = files.read_client_names(spark, args.client_names) if args.client_names else ()
-    final_summary(run(spark, args.path, args.workflow, args.mode, names, args.output)).show(truncate=False)
+    final_summary(run(spark, args.path, args.workflow, args.mode, names, args.output, args.members)).show(truncate=False)
 
 
 if __name__ == "__main__":

@@ -108,6 +108,22 @@ def archive_members(spark: SparkSession, path: str) -> DataFrame:
     return list_files(spark, path).where(F.col("file_type") == "zip").select("path", "content").mapInPandas(run, "path string, name string, file_type string, content binary")
 
 
+def archive_texts(spark: SparkSession, path: str, readers: dict[str, Reader] | None = None) -> DataFrame:
+    """A row for each supported member of the archives under ``path``, with the columns of ``read_texts``; its path is the
+    archive's with the member's name behind a ``!``."""
+    use = READERS | (readers or {})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for p, name, kind, data in zip(batch["path"], batch["name"], batch["file_type"], batch["content"], strict=True):
+                text, ok, error, _ = _read(kind, bytes(data), use)
+                rows.append((f"{p}!{name}", name.rpartition("/")[2], kind, text, ok, kind in ("jpg", "jpeg", "png"), error, None, len(data)))
+            yield pd.DataFrame(rows, columns=["path", "file_name", "file_type", "text", "success", "is_scanned", "error", "extracted_files", "size"])
+
+    return archive_members(spark, path).mapInPandas(run, SCHEMA)
+
+
 def client_names(text: str) -> list[str]:
     """Names from JSON: a list, or a dict with ``client_names``; lower-cased, sorted."""
     data = json.loads(text)

@@ -108,3 +108,43 @@ def test_word_lines(spark):
 
     w = spark.createDataFrame([(1, 2, "b", 90.0, 3, 4), (1, 1, "a", 90.0, 1, 2), (1, 3, " ", 90.0, 0, 0), (1, 4, "low", 0.0, 0, 0)], "image int, seq int, text string, conf double, left int, top int")
     assert blocks.word_lines(w, "image").first().text == "[1, 2] a\n[3, 4] b"
+
+
+def test_archive_as_a_batch(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "b.txt").write_text("mail a@b.org")  # what the archive's member holds
+    (row,) = pipeline.run(spark, folder(tmp_path / "in"), members=True).collect()
+    (alone,) = pipeline.run(spark, str(tmp_path / "b.txt")).collect()
+    assert row.path.endswith("z.zip!b.txt")
+    assert (row.file_name, row.file_type, row.cleaned_text, row.risk_level, row.pii_types) == ("b.txt", "txt", alone.cleaned_text, alone.risk_level, alone.pii_types)
+
+
+def test_redacted_presentation(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from docsieve.operators import pii
+    from docsieve.sources import office, presentations
+
+    a = "http://schemas.openxmlformats.org/drawingml/2006/main"
+    p = "http://schemas.openxmlformats.org/presentationml/2006/main"
+    body = lambda kind, *texts: f"<{kind}:txBody>" + "".join(f"<a:p><a:r><a:t>{t}</a:t></a:r></a:p>" for t in texts) + f"</{kind}:txBody>"
+    slide = lambda *parts: f'<p:sld xmlns:p="{p}" xmlns:a="{a}"><p:cSld><p:spTree>{"".join(parts)}</p:spTree></p:cSld></p:sld>'
+    with zipfile.ZipFile(tmp_path / "t.pptx", "w") as z:
+        z.writestr("ppt/slides/slide2.xml", slide(f"<p:sp>{body('p', 'clean')}</p:sp>"))
+        z.writestr("ppt/slides/slide1.xml", slide(f"<p:sp>{body('p', 'ask 10.0.0.1 at', 'or 10.0.0.2 now')}</p:sp>", f"<p:graphicFrame><a:tbl><a:tr><a:tc>{body('a', 'at 10.1.1.9 or')}</a:tc><a:tc>{body('a', 'n')}</a:tc></a:tr></a:tbl></p:graphicFrame>"))
+        z.writestr("ppt/other.bin", b"kept")
+    (tmp_path / "bad.pptx").write_bytes(b"no zip")
+    rows = {r.path.rpartition("/")[2]: r for r in presentations.redact_presentations(spark, str(tmp_path)).collect()}
+    assert rows["bad.pptx"].error and rows["bad.pptx"].content is None
+    got = rows["t.pptx"]
+    assert (got.total_slides, got.total_shapes, got.slides_with_pii, got.shapes_with_pii) == (2, 3, 1, 2)
+    texts = spark.createDataFrame([("ask 10.0.0.1 at\nor 10.0.0.2 now",), ("at 10.1.1.9 or",)], "text string")
+    want = [r for (r,) in texts.select(pii.detect(F.col("text"))).collect()]
+    assert got.total_pii_instances == sum(map(len, want)) == sum(got.pii_by_type.values())
+    assert got.pii_by_type.keys() == {f.type for fs in want for f in fs}
+    first, second = office.slides(bytes(got.content))
+    assert not any("10." in s for s in first) and "n" in first and second == ["clean"]
+    with zipfile.ZipFile(io.BytesIO(bytes(got.content))) as z:
+        assert z.read("ppt/other.bin") == b"kept" and z.read("ppt/slides/slide1.xml").count(b"FF0000") == 2
+    presentations.write_redacted(spark, str(tmp_path / "t.pptx"), str(tmp_path / "out.pptx"))
+    assert office.slides((tmp_path / "out.pptx").read_bytes()) == [first, second]
