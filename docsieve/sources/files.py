@@ -22,10 +22,15 @@ def suffix(path: F.Column) -> F.Column:
     return F.regexp_extract(F.lower(path), r"\.(\w+)$", 1)
 
 
-def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """Supported files under a file or folder, by path: path, file_type, length, content. The content of other files isn't read."""
+def contents(spark: SparkSession, path: str) -> DataFrame:
+    """Supported files under a file or folder: path, file_type, length, content. The content of other files isn't read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return found.where(suffix(F.col("path")).isin(*SUPPORTED)).select("path", suffix(F.col("path")).alias("file_type"), "length", "content").orderBy("path")
+    return found.where(suffix(F.col("path")).isin(*SUPPORTED)).select("path", suffix(F.col("path")).alias("file_type"), "length", "content")
+
+
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """Supported files under a file or folder, by path: path, file_type, length. Sorting moves no contents."""
+    return contents(spark, path).drop("content").orderBy("path")
 
 
 def plain_text(data: bytes) -> str:
@@ -74,7 +79,7 @@ def read_texts(spark: SparkSession, path: str, readers: dict[str, Reader] | None
     """A row for each file: SCHEMA. ``readers`` replaces or adds readers by suffix; ``spread`` deals the files, which come in
     very different sizes, to that many tasks."""
     use = READERS | (readers or {})
-    files = list_files(spark, path)
+    files = contents(spark, path)
     files = files.repartition(spread) if spread else files
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -91,7 +96,7 @@ def read_texts(spark: SparkSession, path: str, readers: dict[str, Reader] | None
 
 def read_plain(spark: SparkSession, path: str) -> DataFrame:
     """Text files without Python: UTF-8 where it is valid, else Latin-1."""
-    files = list_files(spark, path).where(F.col("file_type") == "txt")
+    files = contents(spark, path).where(F.col("file_type") == "txt")
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", "UTF-8")).otherwise(F.decode("content", "ISO-8859-1"))
     return files.select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"), "file_type", text.alias("text"), F.col("length").alias("size"))
 
@@ -105,7 +110,7 @@ def archive_members(spark: SparkSession, path: str) -> DataFrame:
                 for name, kind, content in members(bytes(data)):
                     yield pd.DataFrame([(p, name, kind, content)], columns=["path", "name", "file_type", "content"])
 
-    return list_files(spark, path).where(F.col("file_type") == "zip").select("path", "content").mapInPandas(run, "path string, name string, file_type string, content binary")
+    return contents(spark, path).where(F.col("file_type") == "zip").select("path", "content").mapInPandas(run, "path string, name string, file_type string, content binary")
 
 
 def archive_texts(spark: SparkSession, path: str, readers: dict[str, Reader] | None = None) -> DataFrame:
@@ -173,4 +178,4 @@ def profiles(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((p, kind, n, {}, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["path", "file_type", "size", "profile", "error"])
 
-    return list_files(spark, path).mapInPandas(run, "path string, file_type string, size long, profile map<string,bigint>, error string")
+    return contents(spark, path).mapInPandas(run, "path string, file_type string, size long, profile map<string,bigint>, error string")

@@ -95,7 +95,7 @@ def _put_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def redact_presentations(spark: SparkSession, path: str, mode: str = "replace", client_names: Sequence[str] = ()) -> DataFrame:
     """A row for each presentation under ``path``: path, total_slides, total_shapes, slides_with_pii, shapes_with_pii,
     total_pii_instances, pii_by_type (entities and patterns), content (the redacted file; null where ``error`` says why)."""
-    found = files.list_files(spark, path).where(F.col("file_type") == "pptx").select("path", "content")
+    found = files.contents(spark, path).where(F.col("file_type") == "pptx").select("path", "content")
     apart = found.mapInPandas(_take_apart, f"path string, content binary, {TEXTS}")
 
     def clean(x):
