@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsieve.functions.text import let
-from docsieve.operators import pii, security
-from docsieve.sources import files, writers
+from docsieve.operators import pii, report, security
+from docsieve.sources import decks, files, writers
 
 WORKFLOWS = ("cleanse", "analyze", "both")
 
@@ -40,13 +40,16 @@ def process(texts: DataFrame, workflow: str = "both", mode: str = "replace", cli
     return rows.drop("__text")
 
 
-def run(spark: SparkSession, path: str, workflow: str = "both", mode: str = "replace", client_names: Sequence[str] = (), output: str | None = None, members: bool = False) -> DataFrame:
+def run(spark: SparkSession, path: str, workflow: str = "both", mode: str = "replace", client_names: Sequence[str] = (), output: str | None = None, members: bool = False, presentation: bool = False) -> DataFrame:
     """Reads all supported files under ``path``, processes them and, with ``output``, writes the reports. With ``members``
-    the archives there are batches: each of their members is a file of its own, and other files aren't read."""
+    the archives there are batches: each of their members is a file of its own, and other files aren't read. With
+    ``presentation`` the reports include one for slides, which lists a bounded number of files."""
     texts = files.archive_texts(spark, path) if members else files.read_texts(spark, path)
     results = process(texts, workflow, mode, client_names)
     if output:
         writers.write_all(results, output)
+        if presentation:
+            decks.write_presentation(report.complete(results), f"{output}/security_report.pptx")
     return results
 
 
@@ -64,10 +67,11 @@ def main(argv: Sequence[str] | None = None) -> None:
     parser.add_argument("--client-names")
     parser.add_argument("--output")
     parser.add_argument("--members", action="store_true", help="process the members of archives as files of their own")
+    parser.add_argument("--presentation", action="store_true", help="write the report as a presentation, too")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("docsieve").getOrCreate()
     names = files.read_client_names(spark, args.client_names) if args.client_names else ()
-    final_summary(run(spark, args.path, args.workflow, args.mode, names, args.output, args.members)).show(truncate=False)
+    final_summary(run(spark, args.path, args.workflow, args.mode, names, args.output, args.members, args.presentation)).show(truncate=False)
 
 
 if __name__ == "__main__":

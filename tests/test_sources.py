@@ -60,12 +60,14 @@ def test_native_text_reader_and_workbook(spark, tmp_path):
 def test_pipeline_and_reports(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
-    results = pipeline.run(spark, folder(src), output=str(tmp_path / "out"))
+    results = pipeline.run(spark, folder(src), output=str(tmp_path / "out"), presentation=True)
     rows = {r.file_name: r for r in results.collect()}
     assert rows["a.TXT"].cleaned_text == "é [IP_ADDRESS]" and rows["a.TXT"].risk_level == "MEDIUM"
     assert not rows["bad.xlsx"].success
     assert pipeline.final_summary(results).first().successful == 5
     assert any((tmp_path / "out").iterdir())
+    assert zipfile.is_zipfile(tmp_path / "out" / "security_report.pptx")
+    assert [r.path.rpartition("/")[2] for r in files.list_files(spark, str(src)).collect()] == ["a.TXT", "bad.xlsx", "latin.txt", "p.pptx", "s.xlsx", "z.zip"]
 
 
 def test_workflows(spark, tmp_path):
