@@ -269,6 +269,18 @@ def test_passages_of_frequent_lines(spark):
         assert [(r.doc_id, r.n_words, r.rep_doc_id) for r in found if r.role == "copy"] == [(90, 60, 70)]
 
 
+def test_partners_behind_other_holders(spark):
+    passage = prose(41, 60).split()
+    edited = [w if j % 10 else "other" for j, w in enumerate(passage)]
+    parts = [" ".join(passage[j + 1 : j + 10]) for j in range(0, 60, 10)]
+    around = lambda k, text: (k, " ".join([prose(600 + k, 20), text, prose(4000 + k, 20)]))
+    for copies in (1, 50):  # each part has that many holders before, between and behind the two documents
+        ids = [start + i for start in (1, 1001, 2001) for i in range(6 * copies)]
+        rows = [around(k, parts[n % 6]) for n, k in enumerate(ids)] + [around(1000, " ".join(passage)), around(2000, " ".join(edited))]
+        found = substring_dedup.repeated_passages(docs(spark, sorted(rows)).coalesce(1)).collect()
+        assert {(r.doc_id, r.rep_doc_id) for r in found if r.role == "copy"} == {(2000, 1000)}
+
+
 def test_chains_follow_both_orders():
     pos, rpos = [0, 10, 20, 30, 30], [100, 110, 5, 130, 6]
     longest = max(substring_dedup.chains(pos, rpos), key=len)
