@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsieve.functions import catalogs as C
-from docsieve.functions.text import context, flagged, folded, half_up, let, sentences, spans, strip, word_count, word_guard
+from docsieve.functions.text import SPACES, context, flagged, folded, half_up, let, sentences, spans, strip, word_count, word_guard
 
 PATTERN_HITS = "array<struct<pattern:int,text:string,context:string,start:int,end:int>>"
 KEYWORD_HITS = "array<struct<keyword:string,sentence:string,context:string,start:int,end:int>>"
@@ -250,9 +250,9 @@ def best_text(candidates: Column) -> Column:
     first wins ties."""
 
     def score(t: Column) -> Column:
-        words = F.filter(F.split(strip(t), r"(?U)\s+"), lambda w: w != "")
-        good = F.regexp_count(t, F.lit(r"[\p{L}\p{N}\s]"))
-        return F.size(words) + F.when(F.char_length(t) > 0, good / F.char_length(t)).otherwise(F.lit(0.0)) + F.size(F.filter(words, lambda w: F.char_length(w) > 1))
+        # of a stripped text that isn't empty: no word is empty
+        good = F.char_length(F.regexp_replace(t, r"[^\p{L}\p{N}\t\n\f\r ]+", ""))
+        return let(F.split(t, f"{SPACES}+"), lambda words: F.size(words) + good / F.char_length(t) + F.size(F.filter(words, lambda w: F.char_length(w) > 1)))
 
     kept = F.filter(F.transform(candidates, lambda t: strip(F.coalesce(t, F.lit("")))), lambda t: t != "")
     scored = F.transform(kept, lambda t, i: F.struct(score(t).alias("score"), (-i).alias("back"), t.alias("text")))

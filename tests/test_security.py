@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from docsieve.operators import geometry, regions, report, security
@@ -72,3 +74,13 @@ def test_suppression_keeps_the_surest(spark):
     assert len(df.select(geometry.group_near(F.col("b"))).first()[0]) == 2
     assert df.select(geometry.bounds(F.col("b"))).first()[0].w == 55
     assert df.select(geometry.suppress(F.array().cast("array<struct<x:int,y:int,w:int,h:int,confidence:double>>"))).first()[0] == []
+
+
+def test_best_text_with_long_runs_of_spaces(spark):
+    # a strip that tries the run again from each of its characters takes minutes
+    text = "a" + " " * 500_000 + "b"
+    began = time.monotonic()
+    df = spark.createDataFrame([(text,), (text + "\x1c 　",), ("  x\x1fy ",)], "text string")
+    got = [r[0] for r in df.select(security.best_text(F.array("text", F.lit("q")))).collect()]
+    assert got == [text, text, "x\x1fy"]
+    assert time.monotonic() - began < 30
