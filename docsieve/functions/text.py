@@ -22,11 +22,34 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def flagged(regex: str, ignore_case: bool) -> str:
-    """The regex with Unicode classes, so that it matches what Python's ``re`` does."""
+def flagged(regex: str, ignore_case: bool, ascii_only: bool = False) -> str:
+    """The regex with Unicode classes, so that it matches what Python's ``re`` does; or with ASCII ones, as SQL engines do."""
+    if ascii_only:
+        return ("(?i)" if ignore_case else "") + _ascii(regex, ignore_case)
     return ("(?iuU)" if ignore_case else "(?U)") + regex
 
 
+def _ascii(regex: str, ignore_case: bool) -> str:
+    """A regex without flags of its own as RE2 reads it, in Java's syntax: digits, white space, word characters and borders
+    of words are ASCII, a dot stops at newlines only, ``$`` is the very end. Without regard to case, s and k match the long s
+    and the Kelvin sign too. Java's own ``\\b`` takes letters beyond ASCII for word characters in some versions."""
+    alike = {"s": "\u017f", "k": "\u212a"} if ignore_case else {}
+    border, fixed = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))", {r"\s": r"[\t\n\f\r ]", ".": r"[^\n]", "$": r"\z"}
+
+    def one(m: re.Match) -> str:
+        token = m[0]
+        if token[0] == "[" or token == r"\w":
+            head, body = re.fullmatch(r"(\[\^?)(.*)\]", token, re.S).groups() if token[0] == "[" else ("[", token)
+            more = "".join(x for c, x in alike.items() if re.match(f"[{body}]", c, re.I | re.A))
+            # in front, where a hyphen that ends the class makes no range of them
+            return head + more + re.sub("^-", r"\\-", body.replace(r"\s", r"\t\n\f\r ")) + "]"
+        if token == r"\b":
+            return border
+        return f"[{token}{alike[token.lower()]}]" if token.lower() in alike else fixed.get(token, token)
+
+    return re.sub(r"\[\^?(?:\\.|[^\]\\])*\]|\\.|\(\?[:=]|.", one, regex, flags=re.S)
+
+
 def strip(text: Column) -> Column:
     """White space off both ends; no regex, which would try a long run inside the text again from each of its characters."""
     return F.trim(text, F.lit(SPACE_CHARACTERS))

@@ -60,11 +60,11 @@ def _guarded(text: Column, patterns: Sequence[C.Pattern], scan, none: Column, wr
     return let(F.struct(folded(text).alias("low"), text.rlike(r"\p{Nd}").alias("digit")), body)
 
 
-def detect(text: Column, client_names: Sequence[str] = (), entities: Column | None = None, patterns: Sequence[C.Pattern] = C.PERSONAL) -> Column:
+def detect(text: Column, client_names: Sequence[str] = (), entities: Column | None = None, patterns: Sequence[C.Pattern] = C.PERSONAL, ascii_only: bool = False) -> Column:
     """Findings of a text: recognised entities (if a recogniser's column is given), then patterns in the catalog's order,
-    then client names in alphabetical order; each with its place in code points."""
+    then client names in alphabetical order; each with its place in code points. ``ascii_only``: see ``flagged``."""
     none = F.array().cast(FINDING)
-    scan = lambda p: _found("pattern", p.name, spans(text, flagged(p.regex, True)), None).cast(FINDING)
+    scan = lambda p: _found("pattern", p.name, spans(text, flagged(p.regex, True, ascii_only)), None).cast(FINDING)
     parts = [entities.cast(FINDING)] if entities is not None else []
     if patterns:
         parts.append(_guarded(text, patterns, scan, none, lambda xs: F.concat(*xs)))
@@ -72,17 +72,17 @@ def detect(text: Column, client_names: Sequence[str] = (), entities: Column | No
     return F.concat(*parts).cast(FINDING)
 
 
-def pattern_counts(text: Column, patterns: Sequence[C.Pattern] = C.PERSONAL) -> Column:
+def pattern_counts(text: Column, patterns: Sequence[C.Pattern] = C.PERSONAL, ascii_only: bool = False) -> Column:
     """A struct with the number of matches of each pattern; nothing is located."""
-    scan = lambda p: F.coalesce(F.regexp_count(text, F.lit(flagged(p.regex, True))), F.lit(0)).cast("long")
+    scan = lambda p: F.coalesce(F.regexp_count(text, F.lit(flagged(p.regex, True, ascii_only))), F.lit(0)).cast("long")
     wrap = lambda xs: F.struct(*[x.alias(p.name) for x, p in zip(xs, patterns, strict=True)])
     return _guarded(text, patterns, scan, F.lit(0).cast("long"), wrap)
 
 
-def with_counts(df: DataFrame, text_col: str = "text", *keep: str) -> DataFrame:
+def with_counts(df: DataFrame, text_col: str = "text", *keep: str, ascii_only: bool = False) -> DataFrame:
     """The columns ``keep`` and one count column a pattern."""
     # explode keeps the optimizer from copying the scan into every column that is taken from it
-    return df.select(*keep, F.explode(F.array(pattern_counts(F.col(text_col)))).alias("__c")).select(*keep, "__c.*")
+    return df.select(*keep, F.explode(F.array(pattern_counts(F.col(text_col), ascii_only=ascii_only))).alias("__c")).select(*keep, "__c.*")
 
 
 def counted_score() -> Column:
@@ -138,10 +138,10 @@ def _ordered(findings: Column, by) -> Column:
     return F.array_sort(rows)
 
 
-def redact(text: Column, mode: str = "replace", client_names: Sequence[str] = (), entities: Column | None = None, findings: Column | None = None) -> Column:
+def redact(text: Column, mode: str = "replace", client_names: Sequence[str] = (), entities: Column | None = None, findings: Column | None = None, ascii_only: bool = False) -> Column:
     """The text with all findings replaced and white space squeezed; null stays null."""
     _check(mode)
-    found = findings if findings is not None else detect(text, client_names, entities)
+    found = findings if findings is not None else detect(text, client_names, entities, ascii_only=ascii_only)
     return let(found, lambda fs: squeeze(_fold(text, _ordered(fs, lambda f: replacement(f["text"], f["type"], mode)), spaced=True)))
 
 
@@ -173,7 +173,7 @@ def risk(findings: Column) -> Column:
     return F.struct(risk_level(score).alias("risk_level"), score.alias("risk_score"), F.size(findings).cast("long").alias("pii_count"), advice(risk_level(score), has).alias("recommendations"))
 
 
-def report(text: Column, client_names: Sequence[str] = (), entities: Column | None = None) -> Column:
+def report(text: Column, client_names: Sequence[str] = (), entities: Column | None = None, ascii_only: bool = False) -> Column:
     """Findings, risk and a preview of the redacted text in one struct."""
 
     def of(fs: Column) -> Column:
@@ -188,7 +188,7 @@ def report(text: Column, client_names: Sequence[str] = (), entities: Column | No
             level["risk_level"].isin("HIGH", "CRITICAL").alias("requires_cleaning"),
         )
 
-    return let(detect(text, client_names, entities), of)
+    return let(detect(text, client_names, entities, ascii_only=ascii_only), of)
 
 
 def specialized_findings(text: Column, entities: Column | None = None) -> Column:
@@ -213,9 +213,9 @@ def redact_specialized(text: Column, mode: str = "replace", entities: Column | N
     return F.when(text == "", text).otherwise(let(specialized_findings(text, entities), lambda fs: _fold(text, _ordered(fs, by), spaced=False)))
 
 
-def clean_line(text: Column, mode: str = "replace", client_names: Sequence[str] = ()) -> Column:
+def clean_line(text: Column, mode: str = "replace", client_names: Sequence[str] = (), ascii_only: bool = False) -> Column:
     """A line of a scanned page: normalised, redacted, spaced again."""
-    return let(normalize(text), lambda t: post_process(redact(t, mode, client_names)))
+    return let(normalize(text), lambda t: post_process(redact(t, mode, client_names, ascii_only=ascii_only)))
 
 
 def clean_nested(df: DataFrame, mode: str = "replace") -> DataFrame:
