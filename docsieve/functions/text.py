@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Callable
 
@@ -29,25 +30,49 @@ def flagged(regex: str, ignore_case: bool, ascii_only: bool = False) -> str:
     return ("(?iuU)" if ignore_case else "(?U)") + regex
 
 
+_TOKEN = re.compile(r"\[\^?(?:\\.|[^\]\\])*\]|\\.|\(\?[:=]|.", re.S)
+_BORDER = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"
+
+
+def _heads(tokens: list[str]) -> list[str]:
+    """The tokens of which one must come first, where that is plain to see; else none."""
+    choices = [tokens]
+    if tokens and tokens[0] in ("(", "(?:"):
+        end = tokens.index(")")
+        if tokens[end + 1 : end + 2] in (["?"], ["*"]) or {"(", "(?:"} & set(tokens[1:end]):
+            return []
+        cuts = [0, *(i for i in range(1, end) if tokens[i] == "|"), end]
+        choices = [tokens[a + 1 : b] for a, b in itertools.pairwise(cuts)]
+    plain = lambda c: c and c[0] != r"\b" and (len(c[0]) > 1 and c[0][0] in "[\\" or c[0].isalnum() or c[0] == "/") and c[1:2] not in (["?"], ["*"]) and c[1:3] != ["{", "0"]
+    return [c[0] for c in choices] if all(map(plain, choices)) else []
+
+
 def _ascii(regex: str, ignore_case: bool) -> str:
     """A regex without flags of its own as RE2 reads it, in Java's syntax: digits, white space, word characters and borders
     of words are ASCII, a dot stops at newlines only, ``$`` is the very end. Without regard to case, s and k match the long s
     and the Kelvin sign too. Java's own ``\\b`` takes letters beyond ASCII for word characters in some versions."""
     alike = {"s": "\u017f", "k": "\u212a"} if ignore_case else {}
-    border, fixed = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))", {r"\s": r"[\t\n\f\r ]", ".": r"[^\n]", "$": r"\z"}
+    fixed = {r"\s": r"[\t\n\f\r ]", ".": r"[^\n]", "$": r"\z"}
+    tokens = _TOKEN.findall(regex)
 
-    def one(m: re.Match) -> str:
-        token = m[0]
-        if token[0] == "[" or token == r"\w":
+    def one(token: str) -> str:
+        if token[0] == "[" and len(token) > 1 or token == r"\w":
             head, body = re.fullmatch(r"(\[\^?)(.*)\]", token, re.S).groups() if token[0] == "[" else ("[", token)
             more = "".join(x for c, x in alike.items() if re.match(f"[{body}]", c, re.I | re.A))
             # in front, where a hyphen that ends the class makes no range of them
             return head + more + re.sub("^-", r"\\-", body.replace(r"\s", r"\t\n\f\r ")) + "]"
-        if token == r"\b":
-            return border
         return f"[{token}{alike[token.lower()]}]" if token.lower() in alike else fixed.get(token, token)
 
-    return re.sub(r"\[\^?(?:\\.|[^\]\\])*\]|\\.|\(\?[:=]|.", one, regex, flags=re.S)
+    def border(i: int) -> str:
+        # before what opens a pattern it is tried at every character, so what must follow is looked at first
+        heads = _heads(tokens[i + 1 :]) if i == 0 or tokens[i - 1] == "|" else []
+        if not heads:
+            return _BORDER
+        beyond = any(re.match(h, chr(c), re.I | re.A) for h in heads for c in range(128) if not re.match(r"\w", chr(c)))
+        beyond = beyond or any(re.match(h, c, re.I | re.A) for h in heads for c in alike)
+        return f"(?=[{''.join(dict.fromkeys(map(one, heads)))}])" + (_BORDER if beyond else r"(?<!\w)")
+
+    return "".join(border(i) if t == r"\b" else one(t) for i, t in enumerate(tokens))
 
 
 def strip(text: Column) -> Column:
