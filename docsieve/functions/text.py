@@ -75,6 +75,11 @@ def _ascii(regex: str, ignore_case: bool) -> str:
     return "".join(border(i) if t == r"\b" else one(t) for i, t in enumerate(tokens))
 
 
+def lowered(text: Column) -> Column:
+    """The text in lower case, with as many code points: Spark makes two of a capital I with a dot, SQL engines an i."""
+    return F.lower(F.replace(text, F.lit("İ"), F.lit("i")))
+
+
 def strip(text: Column) -> Column:
     """White space off both ends; no regex, which would try a long run inside the text again from each of its characters."""
     return F.trim(text, F.lit(SPACE_CHARACTERS))
@@ -93,9 +98,11 @@ def spans(text: Column, regex: str) -> Column:
     """
     found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
     none = F.lit(None).cast(SPAN)
+    # split compiles its regex for every text, but not a single character; U+FFFF is none, so texts hardly hold it
+    gaps = F.when(F.contains(text, F.lit("\uffff")), F.split(text, regex, -1)).otherwise(F.split(F.regexp_replace(text, regex, "\uffff"), "\uffff", -1))
 
     def place(m: Column) -> Column:
-        lengths = F.transform(F.arrays_zip(F.transform(F.split(text, regex, -1), F.char_length).alias("g"), F.transform(m, F.char_length).alias("m")), lambda x: F.struct(x["g"].alias("g"), F.coalesce(x["m"], F.lit(0)).alias("m")))
+        lengths = F.transform(F.arrays_zip(F.transform(gaps, F.char_length).alias("g"), F.transform(m, F.char_length).alias("m")), lambda x: F.struct(x["g"].alias("g"), F.coalesce(x["m"], F.lit(0)).alias("m")))
 
         def starts(n: Column) -> Column:
             ends = lambda i: F.aggregate(F.slice(n, 1, i + 1), F.lit(0), lambda a, x: a + x["g"] + x["m"])
@@ -132,7 +139,7 @@ def half_up(value: Column, digits: int) -> Column:
 def literal_hits(text: Column, name: str) -> Column:
     """Places of ``name`` in the text, whatever the case; hits may overlap. The lower-cased text is cut before every hit, so
     the lengths of the pieces give the places in one pass."""
-    low, key = F.lower(text), name.lower()
+    low, key = lowered(text), name.lower()
     n = len(key)
 
     def place(pieces: Column) -> Column:
@@ -164,7 +171,10 @@ def post_process(text: Column) -> Column:
 
 def folded(text: Column) -> Column:
     """The text for the search of lower-case ASCII words: letters that match ASCII ones without regard to case become those."""
-    return F.translate(F.lower(text), "ſıK", "sik")
+    low = lowered(text)
+    for other, letter in (("ſ", "s"), ("ı", "i"), ("K", "k")):
+        low = F.replace(low, F.lit(other), F.lit(letter))
+    return low
 
 
 def word_guard(regex: str) -> tuple[str, ...]:

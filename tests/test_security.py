@@ -84,3 +84,29 @@ def test_best_text_with_long_runs_of_spaces(spark):
     got = [r[0] for r in df.select(security.best_text(F.array("text", F.lit("q")))).collect()]
     assert got == [text, text, "x\x1fy"]
     assert time.monotonic() - began < 30
+
+
+ODD = ["Deny TCP port 22. Deny TCP port 22! Policy: a￿b. Alert severity", "ſecurity group rule; Policy: é. policy: É? IPS ips", "", None, "no", "￿￿ deny udp 1 allow tcp 2￿"]
+
+
+def test_rows_equal_those_of_topics(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "doc_id int, text string")
+    whole = security.topics(df)
+    want = whole.select("doc_id", "category", F.inline("keywords")).select("doc_id", "category", "keyword", "sentence", "start").collect()
+    assert sorted(security.keyword_rows(df).collect()) == sorted(want) and len(want) > 10
+    want = whole.select("doc_id", "category", F.inline("patterns")).select("doc_id", "category", "pattern", "text", "context", "start").collect()
+    assert sorted(security.pattern_rows(df).collect()) == sorted(want) and len(want) > 5
+    assert all(t is None or t[r.start :].startswith(r.text) for r in want for t in [ODD[r.doc_id]])
+    lines = security.analyze(df).select("doc_id", F.posexplode("key_findings")).collect()
+    assert sorted(map(tuple, security.key_findings(df).collect())) == sorted(map(tuple, lines)) and lines
+    same = ["doc_id", "categories_found", "total_findings", "confidence_score", "recommendations", "description"]
+    assert sorted(map(str, security.descriptions(df).select(same).collect())) == sorted(map(str, security.analyze(df).select(same).collect()))
+
+
+def test_hits_do_not_carry_what_no_one_reads(spark, sf):
+    from docsieve.plans import queries
+
+    plan = queries.keyword_hits(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" in plan and plan.count("regexp_extract_all") < 5 and "cve-" not in plan
+    for name in ("key_findings", "security_recommendations", "security_summary"):
+        assert " split(" not in queries.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
