@@ -54,24 +54,24 @@ ENTITIES = (
 
 #: Security documents, matched with regard to case.
 SPECIALIZED = (
-    Pattern("ip_cidr", r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}/[0-9]{1,2}\b", "[NETWORK_RANGE]"),
-    Pattern("ip_address", r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", "[IP_ADDRESS]"),
-    Pattern("port_range", r"\b\d{1,5}(?:-\d{1,5})?\b(?=\s*(?:/(?:tcp|udp|icmp)|$))", "[PORT_RANGE]"),
-    Pattern("aws_account_id", r"\b\d{12}\b", "[AWS_ACCOUNT]"),
-    Pattern("aws_arn", r"arn:aws:[a-zA-Z0-9\-]*:[a-zA-Z0-9\-]*:\d{12}:.*", "[AWS_ARN]"),
+    Pattern("ip_cidr", r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}/[0-9]{1,2}\b", "[NETWORK_RANGE]", needs=DIGIT),
+    Pattern("ip_address", r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", "[IP_ADDRESS]", needs=DIGIT),
+    Pattern("port_range", r"\b\d{1,5}(?:-\d{1,5})?\b(?=\s*(?:/(?:tcp|udp|icmp)|$))", "[PORT_RANGE]", needs=DIGIT),
+    Pattern("aws_account_id", r"\b\d{12}\b", "[AWS_ACCOUNT]", needs=DIGIT),
+    Pattern("aws_arn", r"arn:aws:[a-zA-Z0-9\-]*:[a-zA-Z0-9\-]*:\d{12}:.*", "[AWS_ARN]", needs=("arn:aws:",)),
     Pattern("aws_role_id", r"\b[A-Z]{2}[A-Z0-9]{16,32}\b", "[AWS_ROLE_ID]"),
-    Pattern("aws_resource", r"\b(?:role|user|group|policy|bucket|function)/[a-zA-Z0-9_\-\.]+\b", "[AWS_RESOURCE]"),
-    Pattern("certificate_titles", r"\b(?:CERTIFICATE\s+OF|CERTIFICATION\s+OF)\s+[A-Z\s]+\b", "[CERTIFICATE_TYPE]"),
-    Pattern("authorization_codes", r"\b[A-Z]{2,}-\d{3,}-[A-Z0-9]{2,}\b", "[AUTH_CODE]"),
-    Pattern("security_levels", r"\b(?:CONFIDENTIAL|SECRET|TOP SECRET|RESTRICTED|INTERNAL USE ONLY)\b", "[SECURITY_LEVEL]"),
-    Pattern("job_titles", r"\b(?:Security Officer|Administrator|Director|Manager|Supervisor|Engineer|Analyst)\b", "[JOB_TITLE]"),
-    Pattern("departments", r"\b(?:Security|IT|Information Technology|Operations|Infrastructure)\s+(?:Department|Dept|Team|Group)\b", "[DEPARTMENT]"),
-    Pattern("policy_names", r"\b[A-Za-z0-9\-]+(?:Policy|Role|Group|Permission)s?\b", "[POLICY_NAME]"),
-    Pattern("resource_names", r"\b(?:Test|Prod|Dev|Stage)-[A-Za-z0-9\-]+\b", "[RESOURCE_NAME]"),
+    Pattern("aws_resource", r"\b(?:role|user|group|policy|bucket|function)/[a-zA-Z0-9_\-\.]+\b", "[AWS_RESOURCE]", needs=("role/", "user/", "group/", "policy/", "bucket/", "function/")),
+    Pattern("certificate_titles", r"\b(?:CERTIFICATE\s+OF|CERTIFICATION\s+OF)\s+[A-Z\s]+\b", "[CERTIFICATE_TYPE]", needs=("certificat",)),
+    Pattern("authorization_codes", r"\b[A-Z]{2,}-\d{3,}-[A-Z0-9]{2,}\b", "[AUTH_CODE]", needs=DIGIT),
+    Pattern("security_levels", r"\b(?:CONFIDENTIAL|SECRET|TOP SECRET|RESTRICTED|INTERNAL USE ONLY)\b", "[SECURITY_LEVEL]", needs=("confidential", "secret", "restricted", "internal use only")),
+    Pattern("job_titles", r"\b(?:Security Officer|Administrator|Director|Manager|Supervisor|Engineer|Analyst)\b", "[JOB_TITLE]", needs=("officer", "administrator", "director", "manager", "supervisor", "engineer", "analyst")),
+    Pattern("departments", r"\b(?:Security|IT|Information Technology|Operations|Infrastructure)\s+(?:Department|Dept|Team|Group)\b", "[DEPARTMENT]", needs=("dep", "team", "group")),
+    Pattern("policy_names", r"\b[A-Za-z0-9\-]+(?:Policy|Role|Group|Permission)s?\b", "[POLICY_NAME]", needs=("policy", "role", "group", "permission")),
+    Pattern("resource_names", r"\b(?:Test|Prod|Dev|Stage)-[A-Za-z0-9\-]+\b", "[RESOURCE_NAME]", needs=("test-", "prod-", "dev-", "stage-")),
 )
 
 #: Two capitalised words and a title.
-TITLED_NAME = Pattern("JOB_TITLE_WITH_NAME", r"\b[A-Z][a-z]+\s+[A-Z][a-z]+\s+(?i:officer|administrator|director|manager|engineer)\b", "[REDACTED]")
+TITLED_NAME = Pattern("JOB_TITLE_WITH_NAME", r"\b[A-Z][a-z]+\s+[A-Z][a-z]+\s+(?i:officer|administrator|director|manager|engineer)\b", "[REDACTED]", needs=("officer", "administrator", "director", "manager", "engineer"))
 
 #: Text regions of command lines and cloud consoles; the first that matches decides.
 REGIONS = (

@@ -193,9 +193,13 @@ def report(text: Column, client_names: Sequence[str] = (), entities: Column | No
 
 def specialized_findings(text: Column, entities: Column | None = None) -> Column:
     """Findings of the specialised catalog: entities, names with titles, then patterns in order."""
+
+    def scan(p: C.Pattern) -> Column:
+        kind, sure = ("entity", 1.0) if p is C.TITLED_NAME else ("pattern", None)
+        return _found(kind, p.name, spans(text, flagged(p.regex, False)), sure).cast(FINDING)
+
     parts = [entities.cast(FINDING)] if entities is not None else []
-    parts.append(_found("entity", C.TITLED_NAME.name, spans(text, flagged(C.TITLED_NAME.regex, False)), 1.0))
-    parts += [_found("pattern", p.name, spans(text, flagged(p.regex, False)), None) for p in C.SPECIALIZED]
+    parts.append(_guarded(text, (C.TITLED_NAME, *C.SPECIALIZED), scan, F.array().cast(FINDING), lambda xs: F.concat(*xs)))
     return F.concat(*parts).cast(FINDING)
 
 
@@ -210,7 +214,9 @@ def redact_specialized(text: Column, mode: str = "replace", entities: Column | N
     """The specialised redaction: no spacing, white space stays; empty texts pass."""
     _check(mode)
     by = lambda f: specialized_placeholder(f["type"]) if mode == "replace" else replacement(f["text"], f["type"], mode)
-    return F.when(text == "", text).otherwise(let(specialized_findings(text, entities), lambda fs: _fold(text, _ordered(fs, by), spaced=False)))
+    # most strings of a nested schema hold nothing, and have nothing to fold
+    fold = lambda fs: F.when(F.size(fs) == 0, text).otherwise(_fold(text, _ordered(fs, by), spaced=False))
+    return F.when(text == "", text).otherwise(let(specialized_findings(text, entities), fold))
 
 
 def clean_line(text: Column, mode: str = "replace", client_names: Sequence[str] = (), ascii_only: bool = False) -> Column:

@@ -89,3 +89,14 @@ def test_sheet_modes(spark):
 def test_redacting_clean_text_changes_nothing(spark):
     text = "Nothing to see here, really."
     assert one(spark, text, pii.redact(F.col("text"))) == text
+
+
+def test_specialised_patterns_are_scanned_for_only_where_they_can_match(spark):
+    texts = EDGES + ["Ann Lee ſecurity", "Jo Doe Manager at 10.0.0.1/8", "IT Team", "CERTIFICATION OF A B", "arn:aws:iam::123456789012:role/x", "AB0123456789ABCDEFGH", "ABCDEFGHIJKLMNOPQRSTUV", "XY-123-Z9 SECRET", "İT Dept MyRoles Stage-1", "plain", "policy/ab_c", "Jo Doe ENGİNEER", "Jo Doe enGINEer"]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "text string")
+    t = F.col("text")
+    named = lambda p: lambda x: F.struct(F.lit(p.name).alias("type"), x["start"].alias("start"), x["end"].alias("end"))
+    plain = F.concat(*[F.transform(X.spans(t, X.flagged(p.regex, False)), named(p)) for p in (C.TITLED_NAME, *C.SPECIALIZED)])
+    for r in df.select(t, pii.specialized_findings(t).alias("a"), plain.alias("b")).collect():
+        assert [(f.type, f.start, f.end) for f in r.a or []] == [tuple(x) for x in r.b], r.text
+    assert all(p.needs for p in C.SPECIALIZED if p.name != "aws_role_id")
